@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,9 +52,27 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, where neither their path nor their working folder has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
+        return
+    folder = tempfile.mkdtemp(prefix="maskwright-")  # the driver serves the file until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "maskwright"), "zip", root, "maskwright"))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(table_path(sf_dir, name))
