@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import encode, lookalike, pieces
+from maskwright.llm import encode, lookalike, mojibake, pieces
 from maskwright.runtime import table
 
 
@@ -39,12 +39,22 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", encode.decode_ids(F.col("ids")).alias("text"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
+    "p9_found": p9_found,
+    "p9_repaired": p9_repaired,
 }
 
 ORACLE_SQL: dict[str, str] = {
