@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import encode, lookalike, mojibake, pieces
+from maskwright.llm import encode, language, lookalike, mojibake, pieces
 from maskwright.runtime import table
 
 
+TURN_LANGS, DOCUMENT_LANGS = ("en", "de", "fr", "es", "it"), ("en", "de", "fr", "es")
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, documents = table(spark, sf_dir, "session_turn"), table(spark, sf_dir, "documents")
+    model = language.fit([(turns, "turn_id", "text", "locale"), (documents, "doc_id", "text", "lang")], TURN_LANGS)
+    a = language.identify(spark, model, turns, "turn_id", "text", "locale", TURN_LANGS, "session_turn")
+    return a.unionAll(language.identify(spark, model, documents, "doc_id", "text", "lang", DOCUMENT_LANGS, "documents"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.relabel_cases(_segments(spark, sf_dir)).select("source_table", "row_id", "seg_no", "lang")
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).drop("known_label", "n_segments")
+
+
 def _turn_limits(spark: SparkSession, sf_dir: str):
     return pieces.limits_of(table(spark, sf_dir, "ner_model_config"), "model_version", "max_length", "piece_overlap", "is_default")
 
@@ -48,6 +66,8 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
