@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import encode, language, lookalike, mojibake, pieces
+from maskwright.llm import canonlist, encode, language, lookalike, mojibake, pieces
 from maskwright.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda name, *columns: [tuple(r) for r in table(spark, sf_dir, name).select(*columns).limit(canonlist.MOST_ENTRIES + 1).collect()]
+    country_rows, gender_rows = listed("country_entry", "country_code", "country_name"), listed("gender_value", "gender")
+    city_rows = listed("city_entry", "city_id", "city_name", "country", "population")
+    of_countries = canonlist.countries(country_rows)
+    places = table(spark, sf_dir, "detected_entity").where("pii_type = 'LOCATION'")
+    found = canonlist.map_rows(places, "entity_key", "original", canonlist.cities(city_rows, of_countries), [r[1] for r in city_rows], "detected_entity.original")
+    found = found.unionAll(canonlist.map_rows(table(spark, sf_dir, "city_entry"), "city_id", "country", of_countries, [r[0] for r in country_rows], "city_entry.country"))
+    genders = canonlist.genders([r[0] for r in gender_rows])
+    return found.unionAll(canonlist.map_rows(table(spark, sf_dir, "name_entry"), "name_id", "gender", genders, [r[0] for r in gender_rows], "name_entry.gender"))
+
+
 TURN_LANGS, DOCUMENT_LANGS = ("en", "de", "fr", "es", "it"), ("en", "de", "fr", "es")
 
 
@@ -66,6 +78,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p5_found": p5_found,
