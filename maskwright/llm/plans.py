@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import canonlist, encode, language, lookalike, mojibake, pieces
+from maskwright.llm import canonlist, encode, language, lookalike, mojibake, pieces, variants
 from maskwright.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = variants.variant_pairs(table(spark, sf_dir, "detected_entity"), "pii_type", "original")
+    return pairs.select(F.col("kind").alias("pii_type"), F.col("text_a").alias("original_a"), F.col("text_b").alias("original_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda name, *columns: [tuple(r) for r in table(spark, sf_dir, name).select(*columns).limit(canonlist.MOST_ENTRIES + 1).collect()]
     country_rows, gender_rows = listed("country_entry", "country_code", "country_name"), listed("gender_value", "gender")
@@ -78,6 +83,7 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
