@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +47,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+_written: list[tuple[SparkSession, str]] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a table written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    The table is columnar and is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner cleans up
+            return
 
 
 _shipped: set[str] = set()
