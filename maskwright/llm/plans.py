@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import canonlist, encode, language, lookalike, mojibake, pieces, variants
-from maskwright.runtime import table
+from maskwright.llm import canonlist, disclosure, encode, language, lookalike, mojibake, pieces, variants
+from maskwright.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionAll(canonlist.map_rows(table(spark, sf_dir, "name_entry"), "name_id", "gender", genders, [r[0] for r in gender_rows], "name_entry.gender"))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, results, entities = (table(spark, sf_dir, n) for n in ("session_turn", "tagging_result", "detected_entity"))
+    terms = cut(disclosure.disclosure_table(entities, results.select("anonymized_text")))
+    texts = turns.select(F.lit("session_turn").alias("source_table"), F.col("turn_id").alias("row_id"), "text")
+    texts = texts.unionAll(results.select(F.lit("tagging_result"), "result_id", "anonymized_text"))
+    return disclosure.find_personal(spark, texts, terms)
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "detected_entity").where("pii_type = 'ADDRESS' AND original IS NOT NULL")
+    spans = F.filter(disclosure.structured_arrow(F.col("original")), lambda s: s.type.isin("EMAIL", "PHONE", "IBAN"))
+    return wide.select(F.lit("detected_entity").alias("source_table"), F.col("entity_key").alias("row_id"), F.col("original").alias("text"), spans.alias("spans"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _personal(spark, sf_dir).unionAll(_addresses(spark, sf_dir)).select("source_table", "row_id", F.explode("spans").alias("s"))
+    return found.select("source_table", "row_id", F.col("s.type").alias("pii_type"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.masked(_personal(spark, sf_dir).unionAll(_addresses(spark, sf_dir)))
+
+
 TURN_LANGS, DOCUMENT_LANGS = ("en", "de", "fr", "es", "it"), ("en", "de", "fr", "es")
 
 
@@ -85,6 +108,8 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_masked": p3_masked,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p5_found": p5_found,
