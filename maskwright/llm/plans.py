@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import canonlist, disclosure, encode, language, lookalike, mojibake, pieces, variants
+from maskwright.llm import canonlist, disclosure, encode, language, lookalike, mixing, mojibake, pieces, variants
 from maskwright.runtime import cut, table
 
 
@@ -97,6 +97,18 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", encode.decode_ids(F.col("ids")).alias("text"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"), "doc_id", "text", "source", ["is_mt", "office", "kind_code", "lang"])
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
@@ -117,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
