@@ -67,8 +67,9 @@ class ConfiguredKey:
 def encrypt_map(originals: Column, key: Column | bytes) -> Column:
     """Struct of ciphertext, iv and auth_tag, all base64. A literal key shows in the plan: pass a column where plans are logged."""
     secret = F.lit(key) if isinstance(key, bytes) else key
-    sealed = F.aes_encrypt(F.encode(F.to_json(originals), "UTF-8"), secret, F.lit("GCM"))
-    # one evaluation of the sealed bytes: the nonce is random
+    # A nonce of its own that the optimiser knows to be random: what reads a part of the struct must not seal again.
+    nonce = F.substring(F.unhex(F.sha2(F.uuid(), 256)), 1, IV_BYTES)
+    sealed = F.aes_encrypt(F.encode(F.to_json(originals), "UTF-8"), secret, F.lit("GCM"), F.lit("DEFAULT"), nonce)
     parts = F.transform(F.array(sealed), lambda b: F.struct(F.base64(F.substring(b, IV_BYTES + 1, F.length(b) - IV_BYTES - TAG_BYTES)).alias("ciphertext"), F.base64(F.substring(b, 1, IV_BYTES)).alias("iv"), F.base64(F.substring(b, F.length(b) - TAG_BYTES + 1, TAG_BYTES)).alias("auth_tag")))
     return F.when(originals.isNotNull(), F.element_at(parts, 1))
 
