@@ -39,7 +39,7 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "detected_entity").where("pii_type = 'ADDRESS' AND original IS NOT NULL")
     spans = F.filter(disclosure.structured_arrow(F.col("original")), lambda s: s.type.isin("EMAIL", "PHONE", "IBAN"))
-    return wide.select(F.lit("detected_entity").alias("source_table"), F.col("entity_key").alias("row_id"), F.col("original").alias("text"), spans.alias("spans"))
+    return wide.select(F.lit("detected_entity").alias("source_table"), F.col("entity_key").alias("row_id"), spans.alias("spans"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure.masked(_personal(spark, sf_dir).unionAll(_addresses(spark, sf_dir)))
+    found = _personal(spark, sf_dir).unionAll(_addresses(spark, sf_dir)).where(F.size("spans") > 0)
+    texts = table(spark, sf_dir, "session_turn").select(F.lit("session_turn").alias("source_table"), F.col("turn_id").alias("row_id"), "text")
+    texts = texts.unionAll(table(spark, sf_dir, "tagging_result").select(F.lit("tagging_result"), "result_id", "anonymized_text"))
+    wide = table(spark, sf_dir, "detected_entity").where("pii_type = 'ADDRESS'").select(F.lit("detected_entity"), "entity_key", "original")
+    return disclosure.masked(texts.unionAll(wide).join(found, ["source_table", "row_id"], "left"))
 
 
 TURN_LANGS, DOCUMENT_LANGS = ("en", "de", "fr", "es", "it"), ("en", "de", "fr", "es")
