@@ -39,8 +39,10 @@ CHANGE = 7.0
 EVIDENCE = 2.5
 #: What one word may count for one language over another, in nats; so two odd names make no segment.
 WORD_EVIDENCE = 3.0
-#: What a piece never seen in a language counts as.
+#: Probability that is spread evenly over all pieces, the same in each language, so that no language favours unknown words.
 SMOOTHING = 0.02
+#: Evidence, in nats, at which a sentence of the sample is taken to have another label than its row.
+RELABEL = 8.0
 #: Tokens that a worker keeps scores of; beyond it the table starts anew, which changes no result.
 KEPT = 1 << 18
 
@@ -148,8 +150,8 @@ def learn(counts: Sequence[Counter], path: str, rounds: int = 4) -> np.ndarray:
     for c in counts:
         weight, p = np.array([float(c[w]) for w in words]), np.full(lattice.n_pieces, 1 / lattice.n_pieces)
         for _ in range(rounds):
-            p = lattice.expected(p, weight) + SMOOTHING
-            p /= p.sum()
+            p = lattice.expected(p, weight)
+            p = (1 - SMOOTHING) * p / max(p.sum(), 1e-9) + SMOOTHING / lattice.n_pieces
         columns.append(p)
     return np.stack(columns, axis=1)
 
@@ -274,32 +276,44 @@ def label_of(column: Column, langs: Sequence[str]) -> Column:
 
 def fit(samples: Sequence[tuple[DataFrame, str, str, str]], langs: Sequence[str], path: str = DEFAULT_VOCABULARY, sample: int = SAMPLE) -> LanguageModel:
     """Learn from (table, id, text, label) tuples: at most ``sample`` rows of each label and table reach the driver."""
-    labelled: list[tuple[str, str]] = []
-    for df, key, text, label in samples:
+    labelled: list[tuple[str, str, int]] = []
+    for at, (df, key, text, label) in enumerate(samples):
         named = df.select(label_of(F.col(label), langs).alias("lang"), F.col(key).alias("id"), F.xxhash64(F.col(key)).alias("h")).where("lang IS NOT NULL")
         rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
         chosen = named.withColumn("n", rank).where(F.col("n") <= sample).select("id", "lang").collect()  # without the texts, bounded
         ids = df.sparkSession.createDataFrame(chosen, named.select("id", "lang").schema).dropDuplicates(["id"])
         rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "id")
         texts = sorted((r.lang, r.text) for r in rows.select("lang", "text").collect())
-        labelled += [(lang, t[a:b]) for lang, t in texts for a, b in units(t)]
+        labelled += [(lang, t[a:b], at) for lang, t in texts for a, b in units(t)]
     if not labelled:
         raise ValueError("no labelled rows to learn from")
-    words = [[w for token in t.split() for w in scored_words(token)] for _, t in labelled]
+    words = [[w for token in t.split() for w in scored_words(token)] for _, t, _ in labelled]
 
     def counts(of: Sequence[str | None]) -> list[Counter]:
-        c = {l: Counter() for l in langs}
-        for lang, found in zip(of, words, strict=True):
+        """Word counts of each language, every table of a language counting the same."""
+        by_table = {(lang, at): Counter() for lang in langs for at in range(len(samples))}
+        for lang, found, (_, _, at) in zip(of, words, labelled, strict=True):
             if lang is not None:
-                c[lang].update(found)
-        return [c[l] for l in langs]
+                by_table[lang, at].update(found)
+        out = []
+        for lang in langs:
+            joined: Counter = Counter()
+            for at in range(len(samples)):
+                total = sum(by_table[lang, at].values())
+                for w, n in by_table[lang, at].items():
+                    joined[w] += n / total
+            out.append(joined)
+        return out
 
-    given = [lang for lang, _ in labelled]
+    given = [lang for lang, _, _ in labelled]
+    rows = np.array([langs.index(lang) for lang in given])
     for _ in range(2):
         model = LanguageModel(langs, learn(counts(given), path), path)
-        scores = model.unit_scores([t for _, t in labelled])
-        best = scores[:, :-1].argmax(1)
-        given = [langs[b] if n else None for b, n in zip(best, scores[:, -1], strict=True)]
+        scores = model.unit_scores([t for _, t, _ in labelled])
+        ll, some = scores[:, :-1], scores[:, -1] > 0
+        best = ll.argmax(1)
+        sure = ll[np.arange(len(ll)), best] - ll[np.arange(len(ll)), rows] > RELABEL
+        given = [langs[b if s else r] if n else None for b, s, r, n in zip(best, sure, rows, some, strict=True)]
     return LanguageModel(langs, learn(counts(given), path), path)
 
 
