@@ -112,8 +112,8 @@ def _learn(labelled: DataFrame, key: str, text: str, source: str, others: Sequen
     from pyspark.sql.window import Window
 
     hashed = labelled.where(F.col(source).isin(*domains)).select(F.col(key).alias("id"), F.col(source).alias("s"), F.xxhash64(key).alias("h"))
-    chosen = hashed.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("h", "id"))).where(F.col("n") <= sample).select("id").distinct()
-    rows = labelled.join(F.broadcast(chosen), F.col(key) == F.col("id"), "left_semi").where(F.col(source).isin(*domains)).select(text, source, *others).collect()  # at most sample rows a source
+    chosen = hashed.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("h", "id"))).where(F.col("n") <= sample).select(F.col("id").alias("_chosen")).distinct()
+    rows = labelled.join(F.broadcast(chosen), F.col(key) == F.col("_chosen"), "left_semi").where(F.col(source).isin(*domains)).select(text, source, *others).collect()  # at most sample rows a source
     if not rows:
         return None
     x = np.stack([features(r[0], r[2:]) for r in rows])
