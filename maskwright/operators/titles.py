@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from maskwright.functions.patterns import SPACE
 from maskwright.policy import HYBRID, Span
 
-# Titles by language, the commonest of each; pass others as a parameter.
+# Titles by language; pass others as a parameter.
 TITLES = {
-    "en": "Mr|Mr.|Mrs|Mrs.|Ms|Ms.|Miss|Mx|Mx.|Dr|Dr.|Doctor|Prof|Prof.|Professor|Sir|Dame|Lord|Lady|Rev|Rev.|Reverend|Hon.|Judge|Captain|Capt.|Col.|Gen.|Lt.|Sgt.",
-    "de": "Herr|Frau|Fräulein|Dr.|Prof.|Prof. Dr.|Dr. med.|Dr. jur.|Dipl.-Ing.|Ing.|Mag.|Hr.|Fr.",
-    "fr": "M.|Mme|Mme.|Mlle|Monsieur|Madame|Mademoiselle|Docteur|Maître|Me|Pr|Pr.",
-    "es": "Sr.|Sra.|Srta.|Señor|Señora|Señorita|Don|Doña|D.|Dña.|Dra.|Ing.|Lic.",
-    "it": "Sig.|Sig.ra|Sig.na|Signor|Signora|Signorina|Dott.|Dott.ssa|Avv.|Ing.|Arch.|Prof.ssa",
-    "pt": "Sr.|Sra.|Senhor|Senhora|Dom|Dona|Dr.|Dra.|Eng.",
-    "nl": "Dhr.|Mevr.|Mw.|Meneer|Mevrouw|Drs.|Ir.|Mr.",
-    "lv": "kungs|kundze|Dr.|Prof.",
-    "ar": "السيد|السيدة|الآنسة|الدكتور|الدكتورة|الأستاذ",
-    "zh": "先生|女士|小姐|博士|教授",
+    "en": "Mr|Mr.|Mister|Mrs|Mrs.|Missus|Ms|Ms.|Miss|Mx|Mx.|Dr|Dr.|Doctor|Prof|Prof.|Professor|Rev|Rev.|Reverend|Fr|Fr.|Father|Sr|Sr.|Sister|Br|Br.|Brother|Capt|Capt.|Captain|Col|Col.|Colonel|Gen|Gen.|General|Lt|Lt.|Lieutenant|Sgt|Sgt.|Sergeant|Maj|Maj.|Major|Cpl|Cpl.|Corporal|Pvt|Pvt.|Private|Adm|Adm.|Admiral|Cmdr|Cmdr.|Commander|Sir|Dame|Lord|Lady|Hon|Hon.|Honorable|The Honorable|Rt Hon|Rt. Hon.|Right Honorable|The Right Honorable|Esq|Esq.|Esquire|Atty|Atty.|Attorney|Judge|Justice",
+    "de": "Herr|Frau|Fräulein|Dr|Dr.|Doktor|Prof|Prof.|Professor|Mag|Mag.|Magister|Dipl|Dipl.|Diplom|Dipl.-Ing|Dipl.-Ing.|Diplomingenieur|Ing|Ing.|Ingenieur|Dr. med|Dr. med.|Dr. jur|Dr. jur.|Dr. phil|Dr. phil.|Dr. rer. nat|Dr. rer. nat.|Dr. h.c|Dr. h.c.|Prof. Dr|Prof. Dr.|Gen|Gen.|General|Oberst|Major|Hauptmann|Pfarrer|Pastor|Bischof",
+    "fr": "M|M.|Monsieur|Mme|Mme.|Madame|Mlle|Mlle.|Mademoiselle|Dr|Dr.|Docteur|Pr|Pr.|Professeur|Prof|Prof.|Me|Me.|Maître|Maitre|Mgr|Mgr.|Monseigneur|Gén|Gén.|Général|Gen|Gen.|Col|Col.|Colonel|Cdt|Cdt.|Commandant|Capt|Capt.|Capitaine|Lt|Lt.|Lieutenant|Père|Frère|Sœur|Soeur|Abbé",
+    "es": "Sr|Sr.|Señor|Sra|Sra.|Señora|Srta|Srta.|Señorita|Don|Doña|D.|Dña.|Dr|Dr.|Doctor|Dra|Dra.|Doctora|Prof|Prof.|Profesor|Profa|Profa.|Profesora|Lic|Lic.|Licenciado|Licenciada|Ing|Ing.|Ingeniero|Ingeniera|Arq|Arq.|Arquitecto|Arquitecta|Abog|Abog.|Abogado|Abogada|Gral|Gral.|General|Cnel|Cnel.|Coronel|Cap|Cap.|Capitán|Tte|Tte.|Teniente|Padre|Fray|Sor",
+    "it": "Sig|Sig.|Signor|Signore|Sig.ra|Signora|Sig.na|Signorina|Dott|Dott.|Dottore|Dottor|Dott.ssa|Dottoressa|Prof|Prof.|Professore|Professor|Prof.ssa|Professoressa|Ing|Ing.|Ingegnere|Avv|Avv.|Avvocato|Arch|Arch.|Architetto|Rag|Rag.|Ragioniere|Geom|Geom.|Geometra|Conte|Contessa|Marchese|Marchesa|Principe|Principessa|Duca|Duchessa|Don|Padre|Fra|Suor|Mons|Mons.|Monsignore",
+    "pt": "Sr|Sr.|Senhor|Sra|Sra.|Senhora|Srta|Srta.|Senhorita|Dr|Dr.|Doutor|Dra|Dra.|Doutora|Prof|Prof.|Professor|Profa|Profa.|Professora|Eng|Eng.|Engenheiro|Engenheira|Arq|Arq.|Arquiteto|Arquiteta|Dom|Dona|Gen|Gen.|General|Cel|Cel.|Coronel|Cap|Cap.|Capitão|Ten|Ten.|Tenente|Padre|Frei|Irmã|Irmão",
+    "nl": "Dhr|Dhr.|De heer|Meneer|Mijnheer|Mevr|Mevr.|Mevrouw|Mw|Mw.|Mejuffrouw|Juffrouw|Dr|Dr.|Doctor|Prof|Prof.|Professor|Ir|Ir.|Ingenieur|Mr|Mr.|Meester|Drs|Drs.|Doctorandus|Ing|Ing.|Gen|Gen.|Generaal|Kol|Kol.|Kolonel|Kapt|Kapt.|Kapitein|Ds|Ds.|Dominee|Pastoor|Pater",
+    "lv": "kungs|kundze|jaunkundze|k-gs|k-dze|Dr|Dr.|doktors|Prof|Prof.|profesors",
+    "ar": "السيد|السيدة|الآنسة|Al-Sayyid|As-Sayyid|Sayyid|Al-Sayyida|As-Sayyida|Sayyida|Al-Aanisa|Aanisa|الدكتور|الدكتورة|الأستاذ|الأستاذة|المهندس|المهندسة|Dr|Dr.|Doktor|Ustadh|Ustadha|Ustaaz|Muhandis|Muhandisa|الشيخ|Sheikh|Shaikh|Shaykh|الإمام|Imam|الحاج|Hajj|Hajji|Al-Hajj|أمير|Amir|Emir|سلطان|Sultan",
+    "zh": "先生|女士|小姐|太太|博士|教授|医生|老师|老師|工程师|工程師|律师|律師|将军|將軍|上校|上尉|阁下|閣下|大人",
 }
 
 

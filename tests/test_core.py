@@ -236,3 +236,16 @@ def test_conversation_stream(spark, tmp_path):
         query.stop()
     rows = {(r.conversation_id, r.turn): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows["c", 2].text == 'again <PII type="EMAIL" id="1"/>' and rows["c", 1].entity_count == 2 and rows["d", 1].text is None
+
+
+@pytest.mark.parametrize("language, count, some", [
+    ("en", 79, "Mister|Sister|The Right Honorable|Rt. Hon.|Sergeant|Admiral|Esq."), ("de", 42, "Doktor|Major|Dipl.|Dr. phil.|Dr. rer. nat.|Bischof"), ("fr", 46, "M|Me.|Mgr|Soeur|Général"),
+    ("es", 56, "Sra|Profesora|Abogado|Capitán|Sor"), ("it", 50, "Dott|Avvocato|Geom.|Principessa|Suor"), ("pt", 47, "Doutora|Engenheiro|Capitão|Irmã"), ("nl", 43, "De heer|Mijnheer|Doctorandus|Ds."),
+    ("lv", 11, "jaunkundze|k-gs|profesors"), ("ar", 40, "Al-Sayyid|Ustadh|المهندسة|الشيخ|Sheikh"), ("zh", 20, "太太|老師|医生|閣下"),
+])
+def test_titles_of_all_languages(spark, language, count, some):
+    assert len(titles.titles(language)) == count and len(titles.titles()) == 350
+    for title in some.split("|"):
+        assert titles.extract_title(f"{title} Ada X") == (title, "Ada X", len(title) + 1) and titles.only_title(title)
+    rows = spark.createDataFrame([(f"{t} Ada X",) for t in some.split("|")], "name string").select(titles.title_column(F.col("name")), titles.name_column(F.col("name")))
+    assert [tuple(r) for r in rows.collect()] == [(t, "Ada X") for t in some.split("|")]
