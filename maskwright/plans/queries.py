@@ -14,6 +14,7 @@ from maskwright.plans.engine import Engine
 from maskwright.policy import ALL_TYPES, REGEX_TYPES, SPAN, TYPE_PRIORITY, Policy
 from maskwright.runtime import table
 from maskwright.sources import store
+from maskwright.sources.semantic import country_names
 
 KEY = bytes(range(32))
 ALLOWED = ("n/a", "remote", "unknown", "hq")
@@ -235,7 +236,7 @@ def gender_lookup(spark, sf_dir):
 
 
 def location_scope(spark, sf_dir):
-    countries = table(spark, sf_dir, "country_entry").select(F.col("country_name").alias("name"), F.col("country_code").alias("code"))
+    countries = table(spark, sf_dir, "country_entry").select(F.explode(country_names(F.col("country_name"), F.col("country_code"))).alias("name"), F.col("country_code").alias("code"))
     cities = table(spark, sf_dir, "city_entry").select(F.col("city_name").alias("name"), "country", "population")
     return semantic.classify_place(_originals(spark, sf_dir, "LOCATION"), "original", countries, cities).select("entity_key", "scope")
 

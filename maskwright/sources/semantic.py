@@ -9,6 +9,25 @@ from pyspark.sql import functions as F
 GENDER_MARKS = {"M": "male", "1M": "male", "?M": "male", "F": "female", "1F": "female", "?F": "female", "?": "neutral"}
 # Columns of the city list.
 CITY_NAME, CITY_ASCII, CITY_OTHERS, CITY_COUNTRY, CITY_POPULATION = 1, 2, 3, 8, 14
+# Other names of countries.
+COUNTRY_VARIANTS = {
+    "United States": ("USA", "US", "America", "United States of America"),
+    "United Kingdom": ("UK", "Britain", "Great Britain", "England"),
+    "Germany": ("Deutschland",),
+    "France": ("Frankreich",),
+    "Spain": ("España", "Espana", "Spanien"),
+    "Italy": ("Italia", "Italien"),
+    "Netherlands": ("Holland", "The Netherlands", "Niederlande"),
+    "Switzerland": ("Schweiz", "Suisse", "Svizzera"),
+    "Austria": ("Österreich", "Oesterreich"),
+    "Belgium": ("Belgien", "Belgique"),
+    "Russia": ("Russland", "Russian Federation"),
+    "China": ("People's Republic of China", "PRC"),
+    "Japan": ("Nippon",),
+    "South Korea": ("Korea", "Republic of Korea"),
+    "United Arab Emirates": ("UAE", "Emirates"),
+    "Czech Republic": ("Czechia", "Tschechien"),
+}
 
 
 def _numbered(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -40,10 +59,17 @@ def read_cities(spark: SparkSession, path: str) -> DataFrame:
     return flat.groupBy(F.lower("name").alias("name")).agg(F.max_by("country", F.struct("population", "country")).alias("country"), F.max("population").alias("population"))
 
 
+def country_names(name: Column, code: Column) -> Column:
+    """All names under which a country is listed, in small letters: its name, its code and its variants."""
+    variants = F.create_map(*[x for k, vs in COUNTRY_VARIANTS.items() for x in (F.lit(k), F.array(*map(F.lit, vs)))])
+    others = F.coalesce(F.try_element_at(variants, name), F.array().cast("array<string>"))
+    return F.transform(F.array_compact(F.concat(F.array(name, code), others)), F.lower)
+
+
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
-    """(name, code): each country's name and code; the last entry of a name counts."""
-    rows = _numbered(spark, path).where(~F.col("line").startswith("#") & (F.size(F.split("line", "\t")) >= 5))
-    flat = rows.select("n", _column(0).alias("code"), F.explode(F.array(F.lower(_column(4)), F.lower(_column(0)))).alias("name"))
+    """(name, code): each country's name, code and variants; the last entry of a name counts."""
+    rows = _numbered(spark, path).where(~F.col("line").startswith("#") & (F.size(F.split("line", "\t")) >= 5) & (_column(0) != "") & (_column(4) != ""))
+    flat = rows.select("n", _column(0).alias("code"), F.explode(country_names(_column(4), _column(0))).alias("name"))
     return flat.groupBy("name").agg(F.max_by("code", "n").alias("code"))
 
 

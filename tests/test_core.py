@@ -249,3 +249,20 @@ def test_titles_of_all_languages(spark, language, count, some):
         assert titles.extract_title(f"{title} Ada X") == (title, "Ada X", len(title) + 1) and titles.only_title(title)
     rows = spark.createDataFrame([(f"{t} Ada X",) for t in some.split("|")], "name string").select(titles.title_column(F.col("name")), titles.name_column(F.col("name")))
     assert [tuple(r) for r in rows.collect()] == [(t, "Ada X") for t in some.split("|")]
+
+
+def test_country_variants(spark, tmp_path):
+    from maskwright.plans.queries import location_scope
+
+    lines = [("US", "United States"), ("GB", "United Kingdom"), ("ES", "Spain"), ("NL", "Netherlands"), ("PL", "Poland")]
+    listed = tmp_path / "countries.txt"
+    listed.write_text("# head\n" + "".join("\t".join([code, "", "", "", name, ""]) + "\n" for code, name in lines))
+    names = {tuple(r) for r in sources.read_countries(spark, str(listed)).collect()}
+    assert {("usa", "US"), ("us", "US"), ("england", "GB"), ("gb", "GB"), ("españa", "ES"), ("the netherlands", "NL"), ("poland", "PL"), ("pl", "PL")} <= names
+    assert len(names) == 2 * len(lines) + 4 - 1 + 4 + 3 + 3  # US is code and variant
+    spark.createDataFrame(lines, "country_code string, country_name string").write.parquet(f"{tmp_path}/country_entry.parquet")
+    spark.createDataFrame([("England", "US", 10**6), ("Berlin", "DE", 10**6)], "city_name string, country string, population long").write.parquet(f"{tmp_path}/city_entry.parquet")
+    places = ["USA", "UK", "England", "España", "Espana", "holland", "GB", "Poland", "Berlin", "Atlantis"]
+    spark.createDataFrame([(i, "LOCATION", p) for i, p in enumerate(places)], "entity_key long, pii_type string, original string").write.parquet(f"{tmp_path}/detected_entity.parquet")
+    got = {r.entity_key: r.scope for r in location_scope(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(places))] == ["country"] * 8 + ["city", "unknown"]
