@@ -3,7 +3,8 @@
 Candidates come from a prefix-filtered set-similarity join on the q-grams of tokens: a token's q-grams are ordered by how rare they
 are in the corpus; tokens within one edit of each other share one of their first ``PREFIX`` q-grams, so that only those are joined.
 A string is found by the rarest of its tokens, as many as are needed that the rest cannot reach the similarity alone, and by
-the tokens close to them; so a family name that a third of all strings share is no meeting point. Candidates are
+the tokens close to them; so a family name that a third of all strings share is no meeting point. Persons are found by pairs
+of a family name and a form of the first name or its letter as well, as the verifier asks no more of them. Candidates are
 verified by soft weighted token similarity: tokens may match through an edit, an abbreviation, initials or a familiar form, and
 weigh the more the rarer they are.
 
@@ -151,6 +152,29 @@ def judge_person(a: Sequence[str], wa: Sequence[float], b: Sequence[str], wb: Se
     return WEAK
 
 
+def person_signs(tokens: Sequence[str], weights: Sequence[float]) -> tuple[list[str], list[str]]:
+    """Signs of a family name with a first name: those with the rarest token as family name, and those with any.
+
+    Two names that ``judge_person`` accepts for a family name spelt alike share one of the first's own with any of the other's, or the
+    other way round. A first name counts in all its forms, by its letter to meet initials, and as a dot alone to meet none.
+    """
+    full = [(w, t) for t, w in zip(tokens, weights, strict=True) if len(t) > 1 and t not in PARTICLES]
+    initials = [t for t in tokens if len(t) == 1]
+    own: set[str] = set()
+    every: set[str] = set()
+    for family in {t for _, t in full if len(t) > 3}:
+        rest = [t for _, t in full if t != family]
+        if rest:
+            mine = {form for x in [*rest, *(by.join(o) for by in ("-", "") for o in (rest, rest[::-1]))] for form in _formal(x)}
+            theirs = mine | {"."} | {f".{x[0]}" for x in _formal("-".join(rest)) | _formal(rest[0]) | _formal(rest[-1])}
+        else:
+            mine, theirs = {f".{i}" for i in initials[:1]} or {"."}, {".", *(f".{i}" for i in initials)}
+        every.update(f"{family}|{x}" for x in theirs)
+        if family == max(full)[1]:
+            own.update(f"{family}|{x}" for x in mine)
+    return sorted(own), sorted(every)
+
+
 def _token_match(x: str, y: str) -> float:
     if x == y:
         return 1.0
@@ -203,6 +227,15 @@ def _tokens_arrow(kinds: pa.Array, texts: pa.Array) -> pa.Array:
     return pa.array([name_tokens(k, t) for k, t in zip(kinds.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
+_ARROW_SIGNS = pa.struct([("own", pa.list_(pa.string())), ("every", pa.list_(pa.string()))])
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("own", "every")]))
+def _person_signs_arrow(tokens: pa.Array, weights: pa.Array) -> pa.Array:
+    both = [person_signs(t, w) for t, w in zip(tokens.to_pylist(), weights.to_pylist(), strict=True)]
+    return pa.array([{"own": own, "every": every} for own, every in both], _ARROW_SIGNS)
+
+
 @F.arrow_udf(T.StringType())
 def _judge_arrow(kinds: pa.Array, a: pa.Array, wa: pa.Array, b: pa.Array, wb: pa.Array) -> pa.Array:
     rows = zip(kinds.to_pylist(), a.to_pylist(), wa.to_pylist(), b.to_pylist(), wb.to_pylist(), strict=True)
@@ -249,6 +282,7 @@ def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSO
     weighed = each.join(commonness, ["kind", "token"]).select("id", "kind", F.struct("at", "token", F.log1p(size / F.col("df")).alias("weight")).alias("t"))
     told = weighed.groupBy("id", "kind").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     told = told.select("id", "kind", F.col("ts.token").alias("tokens"), F.col("ts.weight").alias("weights"), F.filter("ts", lambda t: (F.length(t.token) >= FUZZY_FROM) & ~((F.col("kind") == "PERSON") & t.token.isin(*sorted(FAMILIAR)))).alias("long"), "ts")
+    named = cut(told.where("kind <> 'ORG'").select("id", "kind", "tokens", "weights", _person_signs_arrow(F.col("tokens"), F.col("weights")).alias("s")))
     told = told.withColumn("ts", F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("ts")))  # short tokens are abbreviations and the like, familiar forms stand for others
     # the rarest tokens, until what is left weighs less than the similarity asks for
     total = F.aggregate("ts", F.lit(0.0), lambda s, t: s + t.weight)
@@ -261,6 +295,11 @@ def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSO
     signed = told.withColumn("total", total).withColumn("sign", F.array_distinct(F.concat(needed.kept, F.array(F.concat(F.lit("="), F.array_join("tokens", ""))))))
     signs = cut(signed.select("id", "kind", "tokens", "weights", F.explode("sign").alias("token")))
     moved = signs.join(close, ["kind", "token"]).select("id", "kind", "tokens", "weights", F.col("other").alias("token")).unionAll(signs)
+    own = named.select("id", "kind", "tokens", "weights", F.explode("s.own").alias("sign")).select("id", "kind", "tokens", "weights", *[F.split_part("sign", F.lit("|"), F.lit(k)).alias(c) for k, c in ((1, "family"), (2, "first"))])
+    for part in ("family", "first"):  # and their close spellings
+        own = own.unionByName(own.join(close.withColumnRenamed("token", part), ["kind", part]).drop(part).withColumnRenamed("other", part))
+    moved = moved.unionAll(own.select("id", "kind", "tokens", "weights", F.concat_ws("|", "family", "first")))
+    signs = signs.unionAll(named.select("id", "kind", "tokens", "weights", F.explode("s.every")))
     other = signs.select(F.col("kind").alias("kind_b"), F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in ("id", "tokens", "weights")])
     met = moved.join(other, (F.col("kind") == F.col("kind_b")) & (F.col("token") == F.col("token_b")) & (F.col("id") != F.col("id_b")))
     first = F.col("id") < F.col("id_b")

@@ -31,6 +31,26 @@ def test_variants(spark):
     assert got == {("PERSON", a, b) for a in robert for b in robert if a < b} | {("PERSON", "Anna Feldhoven", "Аnna Feldhoven"), ("ORG", "Glimmerstone Food Proc.", "Glimmerstone Food Processing GmbH")}
 
 
+def test_persons_with_a_common_family_name_meet(spark):
+    """Where the family name is the commonest token, initials and familiar forms still meet the whole name."""
+    others = [f"{x}{y} Miller" for x in ("Amand", "Oswin", "Ezechi", "Ulriq") for y in ("ba", "ce", "di", "fo", "gu")]
+    one = ["Robert Miller", "R. Miller", "Miller, R."]
+    familiar = [f"Bob {x}" for x in ("Ashdown", "Blackwood", "Cartwright", "Dunstable", "Elsworth", "Fairbanks", "Galbraith", "Hathaway")]
+    names = [*one, *others, *familiar]
+    linked = {r.text: r.entity for r in variants.link(spark.createDataFrame([("PERSON", n) for n in names], "kind string, text string"), "kind", "text").collect()}
+    assert len({linked.get(n, n) for n in one}) == 1 and not any(n in linked for n in others)
+
+    rng = random.Random(5)
+    firsts = ["Robert", "Bob", "R.", "Bobby", "Richard", "Dick", "", "Rick", "J. R.", "R. J.", "Karl-Heinz", "Karl", "Hans Peter", "Anna Lena", "Annalena"]
+    for _ in range(400):
+        a, b = ([*variants.name_tokens("PERSON", f"{rng.choice(firsts)} {rng.choice(('Miller', 'Kurz'))}")] for _ in range(2))
+        weight = {t: rng.random() for t in a + b}
+        wa, wb = [weight[t] for t in a], [weight[t] for t in b]
+        if variants.judge_person(a, wa, b, wb) and "".join(a) != "".join(b) and any(len(t) > 3 for t in set(a) & set(b)):
+            (own_a, every_a), (own_b, every_b) = variants.person_signs(a, wa), variants.person_signs(b, wb)
+            assert set(own_a) & set(every_b) or set(own_b) & set(every_a), (a, b)
+
+
 def test_close_tokens_equal_brute_force(spark):
     rng = random.Random(1)
     words = {"".join(rng.choice("abc") for _ in range(rng.randrange(5, 8))) for _ in range(120)}
