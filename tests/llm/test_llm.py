@@ -131,6 +131,17 @@ def test_identifiers(text, expected):
     assert [(k, text[a:b]) for a, b, k in disclosure.structured_spans(text)] == expected
 
 
+def test_addresses_equal_a_plain_search():
+    """With every word for a street, the windows around street words find what the whole pattern finds."""
+    forms = {"en": "12 Old Mill {}, London", "de": "Konrad-Adenauer{} 12, 10115 Berlin", "fr": "12 bis, {} de la Gare, 75001 Paris", "es": "{} de la Luna, 12, 28001 Madrid", "it": "{} Garibaldi, 12, 00100 Roma"}
+    for language, words in disclosure._STREETS.items():
+        for word in words.replace(".?", "").replace("\\", "").split("|"):
+            for text in (forms[language].format(word), "x " * 200 + forms[language].format(word) + " y" * 200):
+                plain = [m.span() for m in disclosure._ADDRESS.finditer(text)]
+                assert plain and list(disclosure._addresses(text)) == plain, text
+    assert [k for _, _, k in disclosure.structured_spans("Konrad-Adenauer-Straße 12, 10115 Berlin")] == ["ADDRESS"]
+
+
 def test_names_by_disclosure(spark):
     entities = [("PERSON", f"{a} {b}") for a in ("Robert", "Susan") for b in ("Glimmerstone", "Feldhoven") for _ in range(4)] + [("ORG", "Quimbly Food Processing")] * 9
     texts = [('My colleague <PII type="PERSON" id="1"/> from <PII type="ORG" id="2"/> will visit you on Monday.',)] * 40
