@@ -142,6 +142,23 @@ def test_addresses_equal_a_plain_search():
     assert [k for _, _, k in disclosure.structured_spans("Konrad-Adenauer-Straße 12, 10115 Berlin")] == ["ADDRESS"]
 
 
+NATIONAL = ["123-45-6789", "123 45 6789", "AB 12 34 56 C", "AB123456C", "1 85 05 78 006 084 36", "185057800608436", "12345678Z", "12345678-Z", "12.345.678-Z", "12.345.678Z"]
+NATIONAL += ["X1234567L", "X-1234567L", "X1234567-L", "X-1234567-L", "Y-7654321-K", "Z-0000001-A", "RSSMRA85T10A562S", "C01X00T478", "CFGHJKLMN1", "L01X00T471"]
+PHONES = ["+49 30 1234567", "+49 (0)30 1234567", "0049 30 1234567", "(030) 1234567", "01 23 45 67 89", "01.23.45.67.89", "0123456789", "030 1234567", "0301/1234567", "020-7946-0958"]
+PHONES += ["+1 (212) 555-0123", "1-212-555-0123", "(212) 555-0123", "212-555-0123", "212.555.0123", "612 345 678", "912-345-678"]
+CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005"]
+
+
+@pytest.mark.parametrize("pattern, values", [("_NATIONAL", NATIONAL), ("_PHONE", PHONES), ("_CARD", CARDS)])
+def test_numbers_equal_a_plain_search(pattern, values):
+    """Starting at runs of digits finds what each whole pattern finds, in any surroundings."""
+    for value in values:
+        for text in (value, f"see {value}.", f"number: {value}, thanks", f"({value})", f"a b c {value}"):
+            plain = [m.span() for m in getattr(disclosure, pattern).finditer(text)]
+            got = [(a, b) for a, b, _ in disclosure._numbers(text)]
+            assert plain and got == plain, text
+
+
 def test_names_by_disclosure(spark):
     entities = [("PERSON", f"{a} {b}") for a in ("Robert", "Susan") for b in ("Glimmerstone", "Feldhoven") for _ in range(4)] + [("ORG", "Quimbly Food Processing")] * 9
     texts = [('My colleague <PII type="PERSON" id="1"/> from <PII type="ORG" id="2"/> will visit you on Monday.',)] * 40
