@@ -169,6 +169,23 @@ def test_names_by_disclosure(spark):
     assert got == {1: ["Robert Feldhoven"], 2: ["Glimmerstone, Susan", "Robert K. Newname"]}
 
 
+def test_copies_of_a_text_do_not_change_disclosure(spark):
+    entities = spark.createDataFrame([("PERSON", "Robert Feldhoven"), ("PERSON", "Robert Glimmerstone")], "pii_type string, original string")
+    missed = "My colleague Robert Feldhoven from Novelname will visit."
+    once, often = (disclosure.disclosure_table(entities, spark.createDataFrame([(missed,)] * n + [("Other words.",)], "t string")) for n in (1, 300))
+    assert {tuple(r) for r in once.collect()} == {tuple(r) for r in often.collect()}
+    rows = spark.createDataFrame([("t", 1, missed)], "source_table string, row_id long, text string")
+    found = disclosure.find_personal(spark, rows, often).first().spans
+    assert [missed[s.start : s.end] for s in found] == ["Robert Feldhoven"]
+
+
+def test_frequent_words_of_entities_are_kept(spark):
+    terms = [("t:robert", 2.0, 0, 9), ("f:robert", 2.0, 0, 9), ("t:feldhoven", -4.0, 900, 1), ("t:my", -4.0, 900, 0)]
+    rows = spark.createDataFrame([("t", 1, "My Robert Feldhoven")], "source_table string, row_id long, text string")
+    found = disclosure.find_personal(spark, rows, spark.createDataFrame(terms, "key string, score double, outside long, inside long")).first().spans
+    assert [(s.start, s.end) for s in found] == [(3, 19)]
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 EN, DE = "the old rules should be kept for another year and the boxes were wet. ", "die alten regeln sollen noch ein jahr gelten und die kartons waren nass. "
