@@ -7,8 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,32 +50,76 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-_written: list[tuple[SparkSession, str]] = []
+def once(function: Callable) -> Callable:
+    """A Python function that Spark evaluates once a row.
+
+    The optimiser copies a deterministic function into every filter over its result and pushes that filter down, below joins and
+    distincts even; it leaves alone what it holds for random. The functions of this package are deterministic all the same.
+    """
+    return function.asNondeterministic()
+
+
+_written: dict[str, SparkSession] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a table written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The table is columnar and is removed when the driver ends.
+    The table is columnar. It is removed by ``discard``, at the end of a ``scratch`` block, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that ``cut`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_written_path", None)
+    if path in _written:
+        files, where = _folder(_written.pop(path), path)
+        files.delete(where, True)
 
-def _clean() -> None:
-    for spark, path in _written:
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables cut inside the block are removed at its end: build a query and write its result in it."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _clean([p for p in _written if p not in before])
+
+
+def _clean(paths: list[str] | None = None) -> None:
+    for path in list(_written) if paths is None else paths:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            files, where = _folder(_written.pop(path), path)
+            files.delete(where, True)
         except Exception:  # the session has ended: the folder's owner cleans up
             return
 
 
+#: Bytes on disk up to which a table written by ``cut`` is broadcast.
+BROADCAST_BYTES = 2 << 20
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A table written by ``cut``, to be broadcast if its files are small enough for that, else to be joined by shuffle."""
+    files, where = _folder(df.sparkSession, df._written_path)
+    return F.broadcast(df) if files.getContentSummary(where).getLength() <= most else df.hint("merge")
+
+
 _shipped: set[str] = set()
 
 
