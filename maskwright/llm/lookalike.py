@@ -1,9 +1,14 @@
 """Problem 6: one form for strings that are displayed alike.
 
-A string passes the quick check when none of its characters belongs to the class of unstable characters: invisible
-ones, odd blanks, width and ligature forms, combining marks, letters of another script that look like Latin ones, and
-whatever canonical composition changes. Such strings are returned as they are and never leave the JVM. In the others only
-the unstable segments are rewritten, each with the starter before it and the marks after it, and spliced back.
+Two results are kept apart. The ``skeleton`` is a key for comparisons: strings that look the same have the same one, as letters of other
+scripts are written as the Latin letters they look like, wherever they stand. The ``canonical`` form is text to go on with: it
+changes such a letter only inside words that mix scripts, so that words of another script stay what they are.
+
+A string passes the quick check when it is ASCII (tested in the JVM; it never leaves it) or when none of its characters is unstable:
+invisible ones, odd blanks, width and ligature forms, combining marks, look-alike letters, whatever canonical composition
+changes and whatever may combine with the character before it. In the others only the unstable segments are rewritten, each with the
+starter before it and the marks after it, and spliced back. The properties of a character are looked up once in each worker, over
+the whole code space.
 
 Defined results: null stays null, the empty text stays empty, blanks at the ends and runs of blanks are kept (one can see
 them), case is kept.
@@ -12,6 +17,7 @@ them), case is kept.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -20,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts and the Latin letters they look like.
+from maskwright.runtime import cut, once
+
+# Letters of other scripts (Cyrillic, Greek, Armenian, Cherokee, phonetic) and the Latin letters they look like.
 LOOKALIKES = dict(
     zip(
-        "аеіѕосрјхуһԁԛԝ" "АВЕЅІЈКМНОРСТХУԚԜ" "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-        "aeisocpjxyhdqw" "ABESIJKMHOPCTXYQW" "ovABEZHIKMNOPTYX",
+        "аеіѕосрјхуһԁԛԝѵӏҽ" "АВЕЅІЈКМНОРСТХУԚԜѴӀ" "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϲϳͿ" "օսոհցզՍՕՏ" "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ" "ɡɑ",
+        "aeisocpjxyhdqwvle" "ABESIJKMHOPCTXYQWVI" "ovABEZHIKMNOPTYXCcjJ" "ounhgqUOS" "ABCDEGHJKLMPRSTVWZ" "ga",
         strict=True,
     )
 )
@@ -33,7 +41,6 @@ INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\
 
 #: Compatibility forms that look like what they stand for; others, such as raised letters, can be told apart.
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
-_SCAN = (range(0x80, 0xD800), range(0xF900, 0x10000), range(0x1D400, 0x1D800))
 
 
 def _same_look(ch: str) -> str | None:
@@ -46,69 +53,87 @@ def _same_look(ch: str) -> str | None:
 
 
 @lru_cache(1)
-def _tables() -> tuple[dict[int, str], str, str]:
-    """The replacements, the class of unstable characters and that of combining marks, as ranges of a regex class."""
-    table = {ord(c): "" for c in INVISIBLE} | {ord(a): b for a, b in LOOKALIKES.items()}
-    unstable, marks = set(table), set()
-    for code in (c for r in _SCAN for c in r):
-        ch = chr(code)
-        if unicodedata.combining(ch):
-            marks.add(code)
-        elif (to := _same_look(ch)) is not None:
-            table[code] = "".join(LOOKALIKES.get(x, x) for x in to)
-            unstable.add(code)
-        elif unicodedata.normalize("NFC", ch) != ch or unicodedata.normalize("NFD", ch)[0] in LOOKALIKES:
-            unstable.add(code)
-    return table, _ranges(unstable | marks), _ranges(marks)
-
-
-def _ranges(codes: set[int]) -> str:
-    out, run = [], []
-    for c in sorted(codes):
-        if run and c == run[1] + 1:
-            run[1] = c
-        else:
-            run = [c, c]
-            out.append(run)
-    return "".join(f"{_esc(a)}-{_esc(b)}" for a, b in out)
-
-
-def _esc(code: int) -> str:
-    return f"\\U{code:08x}"
+def _seconds() -> frozenset[str]:
+    """The characters that may combine with the one before them: second parts of canonical decompositions, vowels and finals of Hangul."""
+    pairs = (d.split() for c in range(sys.maxunicode + 1) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<")
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2) | frozenset(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
 
 
-@lru_cache(1)
-def _segment() -> re.Pattern:
-    _, unstable, _ = _tables()
-    return re.compile(f"[^{unstable}]?[{unstable}]+")
+class _Changes(dict):
+    """What each character becomes in a form, None for stable ones; found where it is missing."""
+
+    def __init__(self, letters: bool):
+        self._table = {c: "" for c in INVISIBLE} | (LOOKALIKES if letters else {})
+
+    def __missing__(self, ch: str) -> str | None:
+        to = self._table.get(ch)
+        if to is None and (shown := _same_look(ch)) is not None:
+            to = "".join(self._table.get(x, x) for x in shown)
+        second = unicodedata.category(ch) in ("Mc", "Mn", "Lo") and ch in _seconds()
+        if to is None and (second or unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch or unicodedata.normalize("NFD", ch)[0] in self._table):
+            to = ch
+        self[ch] = to
+        return to
 
 
-def _rewrite(match: re.Match) -> str:
-    table = _tables()[0]
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", match[0].translate(table)).translate(table))
+_KEY, _TEXT = _Changes(True), _Changes(False)
+
+
+def _spliced(text: str, changes: _Changes) -> str:
+    """``text`` with its unstable segments rewritten."""
+    if text.isascii() or all(changes[ch] is None for ch in set(text)):
+        return text
+    out, done, i, n = [], 0, 0, len(text)
+    while i < n:
+        if changes[text[i]] is None:
+            i += 1
+            continue
+        start = max(done, i - 1)
+        while i < n and changes[text[i]] is not None:
+            i += 1
+        segment = "".join([ch if (to := changes[ch]) is None else to for ch in text[start:i]])
+        again = "".join([ch if (to := changes[ch]) is None else to for ch in unicodedata.normalize("NFD", segment)])
+        out += (text[done:start], unicodedata.normalize("NFC", again))
+        done = i
+    return "".join(out) + text[done:]
+
+
+def skeleton(text: str | None) -> str | None:
+    """The key that all strings which look like ``text`` share."""
+    return text if text is None else _spliced(text, _KEY)
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(1 << 12)
+def _script(ch: str) -> str:
+    return "LATIN" if ch.isascii() else unicodedata.name(ch, "?").split()[0]
+
+
+def _unmixed(word: re.Match) -> str:
+    return "".join([LOOKALIKES.get(ch, ch) for ch in word[0]]) if len(set(map(_script, word[0]))) > 1 else word[0]
 
 
 def canonical(text: str | None) -> str | None:
-    """The one form of all strings that look like ``text``; see the module's head for the defined results."""
+    """``text`` in its one form; look-alike letters are changed only inside words of mixed script."""
     if text is None or text.isascii():
         return text
-    return _segment().sub(_rewrite, text)
-
+    plain = _spliced(text, _TEXT)
+    return unicodedata.normalize("NFC", _WORD.sub(_unmixed, plain)) if any(ch in LOOKALIKES for ch in set(plain)) else plain
 
-def unstable(text: Column) -> Column:
-    """Quick check, in the JVM: does ``text`` hold a character that may change?"""
-    cls = re.sub(r"\\U(\w{8})", lambda m: f"\\\\x{{{int(m[1], 16):x}}}", _tables()[1]).replace("\\\\", "\\")
-    return text.rlike(f"[{cls}]")
 
+def _on_unstable(form):
+    @once
+    @F.arrow_udf(T.StringType())
+    def change(texts: pa.Array) -> pa.Array:
+        return pa.array([form(x) for x in texts.to_pylist()], pa.string())
 
-@F.arrow_udf(T.StringType())
-def _canonical_arrow(texts: pa.Array) -> pa.Array:
-    return pa.array([canonical(x) for x in texts.to_pylist()], pa.string())
+    # ASCII is stable in every form
+    return lambda text: F.coalesce(change(F.when(F.octet_length(text) != F.length(text), text)), text)
 
 
-def canonical_column(text: Column) -> Column:
-    """``text`` in its one form; only strings that fail the quick check are sent to Python."""
-    return F.coalesce(_canonical_arrow(F.when(unstable(text), text)), text)
+canonical_column, skeleton_column = _on_unstable(canonical), _on_unstable(skeleton)
 
 
 def unify(df: DataFrame, column: str, into: str = "canonical") -> DataFrame:
@@ -119,12 +144,12 @@ def unify(df: DataFrame, column: str, into: str = "canonical") -> DataFrame:
 def equal_looking_pairs(values: DataFrame, column: str) -> DataFrame:
     """Pairs (text_a < text_b) of different strings of ``column`` that look the same.
 
-    Two strings that both are in their one form differ visibly, so one side of every pair is a string that changed: the
-    changed strings are joined with all strings on the form, and no pairs of unchanged strings are made. Nulls and
+    Two strings that both are their own skeleton differ visibly, so one side of every pair is a string that changed: the
+    changed strings are joined with all strings on the skeleton, and no pairs of unchanged strings are made. Nulls and
     repeated rows make no pairs.
     """
     distinct = values.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct()
-    forms = distinct.withColumn("form", canonical_column(F.col("text")))
+    forms = cut(distinct.withColumn("form", skeleton_column(F.col("text"))))
     left = forms.where("text <> form").select(F.col("text").alias("l"), "form")
     right = forms.select(F.col("text").alias("r"), "form")
     pairs = left.join(right, "form").where("l < r OR (l > r AND r = form)")
