@@ -6,8 +6,8 @@ win. Values without a mention go to token-set similarity: noise (numbers, generi
 countries) is set aside, abbreviated prefixes are spelled out, and the rest is compared with the names that share
 enough pairs of letters, in either order of the tokens, by edits of neighbouring letters.
 
-The lists are bounded (``MOST_ENTRIES``) and travel with the tasks; every value is mapped on its own, after the values were made
-distinct, so that no value is shuffled more often than once.
+The lists are bounded (``MOST_ENTRIES``, about what an automaton in each worker's memory can hold) and travel with the tasks; every
+value is mapped on its own, after the values were made distinct. Aliases, generic words and contexts are tables that the caller may pass.
 
 Defined results: null and blank values are no cases and get no row from ``map_rows``; a value that is exactly a key or a
 canonical name is left out there too, as it needs no mapping; everything else gets the key of one entry or ``unmatched``. Of entries
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -28,10 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.lookalike import canonical
+from maskwright.llm.lookalike import skeleton
+from maskwright.runtime import bounded, cut, once
 
 UNMATCHED = "unmatched"
 MOST_ENTRIES = 100_000
+#: Names that a joined prefix begins at least.
+JOINED_PREFIX = 8
 #: Edits allowed in a name of at least so many letters.
 EDITS = ((14, 3), (8, 2), (4, 1))
 _TOKENS = re.compile(r"[^\W\d_]+|\d+")
@@ -80,13 +83,15 @@ GENDER_ALIASES = {
 @lru_cache(1 << 16)
 def fold(text: str) -> str:
     """One form, small letters, without accents."""
-    plain = unicodedata.normalize("NFD", (canonical(text) or "").casefold().replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l"))
+    if text.isascii():
+        return text.lower()
+    plain = unicodedata.normalize("NFD", (skeleton(text) or "").casefold().replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l"))
     return "".join(ch for ch in plain if not unicodedata.combining(ch))
 
 
 def spellings(text: str) -> set[str]:
     """The folded text, and the one with German vowels written out."""
-    out = (canonical(text) or "").casefold()
+    out = (skeleton(text) or "").casefold()
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("å", "aa")):
         out = out.replace(a, b)
     return {fold(text), fold(out)}
@@ -169,11 +174,12 @@ class Canon:
         #: Words that begin several names; a mention right behind another such word is another name.
         self._prefixes = {w for w, n in firsts.items() if n >= 3 and len(w) > 1}
         flats = set(self._by_form)
-        for form in list(flats):  # joined prefixes, which count only as beginnings of other names
-            for size in range(3, 8):
-                firsts[form[:size]] += 0
-        begins = Counter(form[:size] for form in flats for size in (4, 5, 6))
-        self._prefixes |= {b for b, n in begins.items() if n >= 8 and b in {"ober", "nieder", "unter", "neu"}}
+        begins = Counter(form[:size] for form in flats for size in range(3, 10))
+        longer: dict[str, int] = defaultdict(int)
+        for begin, n in begins.items():
+            longer[begin[:-1]] = max(longer[begin[:-1]], n)
+        #: Joined prefixes: beginnings of many names, after which these go on in different ways.
+        self._prefixes |= {b for b, n in begins.items() if n >= JOINED_PREFIX and 2 * longer[b] < n and len(b) < 9}
         self._automaton = ahocorasick.Automaton()
         for form in flats:
             if len(form) > self.short:
@@ -232,7 +238,7 @@ class Canon:
             if len(flat) < 3:
                 continue
             shared = Counter(f for pair in _pairs(flat) for f in self._index.get(pair, ()))
-            for form, n in shared.most_common(80):
+            for form, n in shared.items():
                 allowed = edits_allowed(min(len(form), len(flat)))
                 if n + 3 * allowed + 1 >= len(_pairs(form)) and (d := edits(flat, form, allowed)) <= allowed:
                     best.append((d, form))
@@ -248,7 +254,7 @@ class Canon:
 
     def find(self, value: str | None) -> str | None:
         """The key that ``value`` stands for, ``unmatched``, or None for a null or blank value."""
-        if value is None or not (canonical(value) or "").strip():
+        if value is None or not (skeleton(value) or "").strip():
             return None
         if not self._ready:
             self._prepare()
@@ -308,26 +314,27 @@ class Canon:
         return found, [t for k, t in enumerate(tokens) if k not in used]
 
 
-def countries(rows: Iterable[tuple[str, str]]) -> Canon:
-    """The list of countries from (code, name) rows."""
-    entries = [Entry(code, name, (code, *COUNTRY_ALIASES.get(code, "").split("|"))) for code, name in rows]
+def countries(rows: Iterable[tuple[str, str]], aliases: Mapping[str, str] = COUNTRY_ALIASES) -> Canon:
+    """The list of countries from (code, name) rows; ``aliases`` has further names by code, divided by bars."""
+    entries = [Entry(code, name, (code, *aliases.get(code, "").split("|"))) for code, name in rows]
     return Canon([Entry(e.key, e.name, tuple(a for a in e.aliases if a)) for e in entries], whole=True, short=3)
 
 
-def genders(rows: Iterable[str]) -> Canon:
-    return Canon([Entry(g, g, tuple(a for a in GENDER_ALIASES.get(g, "").split("|") if a)) for g in rows], whole=True, short=3)
+def genders(rows: Iterable[str], aliases: Mapping[str, str] = GENDER_ALIASES) -> Canon:
+    return Canon([Entry(g, g, tuple(a for a in aliases.get(g, "").split("|") if a)) for g in rows], whole=True, short=3)
 
 
-def cities(rows: Iterable[tuple[int, str, str | None, int | None]], of_countries: Canon) -> Canon:
+def cities(rows: Iterable[tuple[int, str, str | None, int | None]], of_countries: Canon, generic: frozenset[str] = GENERIC) -> Canon:
     """The list of cities from (id, name, country as typed, population) rows."""
     entries = []
     for key, name, country, population in rows:
         found = of_countries.find(country)
         entries.append(Entry(str(key), name, (), None if found == UNMATCHED else found, float(population or 0)))
-    return Canon(entries, contexts=of_countries, generic=GENERIC, short=4)
+    return Canon(entries, contexts=of_countries, generic=generic, short=4)
 
 
 def map_values(canon: Canon, value: Column) -> Column:
+    @once
     @F.arrow_udf(T.StringType())
     def find(values: pa.Array) -> pa.Array:
         of: Callable = lru_cache(1 << 16)(canon.find)
@@ -339,9 +346,12 @@ def map_values(canon: Canon, value: Column) -> Column:
 def map_rows(df: DataFrame, key: str, value: str, canon: Canon, exact: Iterable[str], field_name: str) -> DataFrame:
     """(field_name, row_id, ref_key) of the rows whose value is neither null nor blank nor one of the ``exact`` ones.
 
-    Distinct values are mapped once and joined back on the value.
+    Distinct values are mapped once, spread over as many tasks as a shuffle has, and joined back on the value.
     """
-    rows = df.select(F.col(key).alias("row_id"), F.col(value).alias("value")).where(F.col("value").isNotNull() & F.col("value").rlike(r"\S") & ~F.col("value").isin(*exact))
-    mapped = rows.select("value").distinct().withColumn("ref_key", map_values(canon, F.col("value"))).where("ref_key IS NOT NULL")
-    joined = rows.join(mapped, "value")
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(x,) for x in sorted({x for x in exact if x is not None})], "value string")  # as bounded as the list
+    rows = df.select(F.col(key).alias("row_id"), F.col(value).alias("value")).where(F.col("value").rlike(r"\S")).join(F.broadcast(listed), "value", "left_anti")
+    spread = rows.select("value").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mapped = cut(spread.withColumn("ref_key", map_values(canon, F.col("value"))))
+    joined = rows.join(bounded(mapped), "value").where("ref_key IS NOT NULL")
     return joined.select(F.lit(field_name).alias("field_name"), "row_id", "ref_key")
