@@ -3,15 +3,17 @@
 Each language has probabilities of the pieces of a fixed public vocabulary, learnt by expectation-maximisation from labelled
 rows; no piece crosses a word. A word's probability in a language is the sum over all its segmentations into pieces (forward
 algorithm), a sentence's that of its words. The sentences of a text form a chain whose language seldom changes: the best
-path gives the segments, and a segment's confidence is the posterior of its language, all five being equally likely before.
+path gives the segments. To find the path, what one word may count is bounded; a segment's confidence is the posterior of its
+language by the likelihoods as they are, all languages being equally likely before, and its evidence the bounded margin over the next one.
 
 Only words that begin with a small letter are scored, so that names, headings and formulas have no say; neither have particles of
-names alone. Sentences without scored words belong to the segment before them (or after, at the start).
+names alone. Sentences without scored words belong to the segment before them (or after, at the start). In a text without any
+scored words the sentences of at least ``CAPITAL_WORDS`` words that are written in capitals throughout are scored instead.
 
 Learning takes at most ``SAMPLE`` labelled rows of each label and table, those with the smallest hash of their id; labels may
 be wrong, so sentences are relabelled by the first model and the final one is learnt from what it agrees with.
 
-Defined results: null, empty and wordless texts have no segments; a label is compared without case and without what follows
+Defined results: null, empty and wordless texts have no segments; a text that says little has one, of low confidence and evidence; a label is compared without case and without what follows
 ``-`` or ``_``; repeated rows count each. Positions are code points.
 """
 
@@ -30,13 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from maskwright.runtime import once
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled rows to learn from, for each label and table.
 SAMPLE = 400
 #: Cost, in nats, of a change of language between two sentences.
 CHANGE = 7.0
-#: A text or segment needs this much evidence, in nats, over the next language.
+#: A text in one language needs this much evidence, in nats, over the next language to be held against its label.
 EVIDENCE = 2.5
+#: Words that a sentence in capitals needs to be scored.
+CAPITAL_WORDS = 5
 #: What one word may count for one language over another, in nats; so two odd names make no segment.
 WORD_EVIDENCE = 3.0
 #: Probability that is spread evenly over all pieces, the same in each language, so that no language favours unknown words.
@@ -100,9 +106,9 @@ def _lattice(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple
 _FOREIGN = math.exp(-12)  # probability of a character without a piece, the same in all languages
 
 
-def forward(word: str, probabilities: np.ndarray, path: str) -> np.ndarray:
+def forward(word: str, probabilities: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
     """Log probability of ``word`` in each language: the sum over all segmentations."""
-    ends = _lattice(word, *vocabulary(path))
+    ends = _lattice(word, pieces, longest)
     alpha = np.zeros((len(ends), probabilities.shape[1]))
     alpha[0] = 1
     for end in range(1, len(ends)):
@@ -168,30 +174,33 @@ class _TokenIds(dict):
 
 
 class LanguageModel:
-    """Scores and segments of texts; ``langs`` are the columns of ``probabilities``."""
+    """Scores and segments of texts; ``langs`` are the columns of ``probabilities``. It carries its vocabulary to the workers."""
 
-    def __init__(self, langs: Sequence[str], probabilities: np.ndarray, path: str = DEFAULT_VOCABULARY):
-        self.langs, self.probabilities, self.path = tuple(langs), probabilities, path
+    def __init__(self, langs: Sequence[str], probabilities: np.ndarray, path: str = DEFAULT_VOCABULARY, pieces: tuple[dict[str, int], int] | None = None):
+        self.langs, self.probabilities, self.path, self.pieces = tuple(langs), probabilities, path, pieces or vocabulary(path)
         self._reset()
 
     def _reset(self) -> None:
         self._words: dict[str, np.ndarray] = {}
         self._ids = _TokenIds(self._token)
-        self._table = np.zeros((1024, len(self.langs) + 1))  # row 0: tokens that have no say
+        self._table = np.zeros((1024, 2 * len(self.langs) + 1))  # row 0: tokens that have no say
         self._used = 1
 
     def __getstate__(self):
-        return self.langs, self.probabilities, self.path
+        return self.langs, self.probabilities, self.path, self.pieces
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def _token(self, token: str) -> int:
-        row = np.zeros(len(self.langs) + 1)
+        """Row of the table: bounded scores, scores as they are, number of words that bear a sentence."""
+        n = len(self.langs)
+        row = np.zeros(2 * n + 1)
         for word in scored_words(token):
             if (score := self._words.get(word)) is None:
-                score = np.zeros(len(self.langs)) if word in NAME_PARTICLES else forward(word, self.probabilities, self.path)
-                score = self._words[word] = np.maximum(score - score.max(), -WORD_EVIDENCE)
+                score = np.zeros(n) if word in NAME_PARTICLES else forward(word, self.probabilities, *self.pieces)
+                score = score - score.max()
+                score = self._words[word] = np.concatenate([np.maximum(score, -WORD_EVIDENCE), score])
             row[:-1] += score
             row[-1] += word not in PARTICLES
         if not row.any():
@@ -203,7 +212,7 @@ class LanguageModel:
         return self._used - 1
 
     def unit_scores(self, parts: list[str]) -> np.ndarray:
-        """Log probability of each part in each language; the last column counts the words that bear it."""
+        """Of each part: bounded log scores by language, the log probabilities as they are, and the number of words that bear it."""
         if len(self._ids) > KEPT:
             self._reset()
         ids: list[int] = []
@@ -213,25 +222,31 @@ class LanguageModel:
             ids.extend(map(known, part.split()))
             ends.append(len(ids))
         sizes = np.diff(ends)
-        sums = np.zeros((len(parts), len(self.langs) + 1))
+        sums = np.zeros((len(parts), 2 * len(self.langs) + 1))
         filled = sizes > 0
         if filled.any():
             sums[filled] = np.add.reduceat(self._table[ids], np.array(ends[:-1])[filled], axis=0)
         sums[sums[:, -1] == 0] = 0
         return sums
 
-    def segments(self, text: str | None, allowed: Sequence[str] | None = None) -> list[tuple[str, int, int, float]]:
-        """(language, start, end, confidence) of the longest runs of sentences in one language."""
+    def segments(self, text: str | None, allowed: Sequence[str] | None = None) -> list[tuple[str, int, int, float, float]]:
+        """(language, start, end, confidence, evidence) of the longest runs of sentences in one language."""
         if not text:
             return []
         bounds = units(text)
-        scores = self.unit_scores([text[a:b] for a, b in bounds])
+        parts = [text[a:b] for a, b in bounds]
+        scores = self.unit_scores(parts)
+        if not scores[:, -1].any():
+            capitals = [p.lower() if p.isupper() and len(_WORDS.findall(p)) >= CAPITAL_WORDS else "" for p in parts]
+            if not any(capitals):
+                return []
+            scores = self.unit_scores(capitals)
+        n = len(self.langs)
         keep = [i for i, l in enumerate(self.langs) if allowed is None or l in allowed]
-        scores = scores[:, [*keep, -1]]
         used = np.flatnonzero(scores[:, -1])
         if not len(used):
             return []
-        ll = scores[used, :-1]
+        ll, true = scores[used][:, keep], scores[used][:, [n + i for i in keep]]
         best = ll.argmax(1)
         path = best.tolist() if (best == best[0]).all() else self._best_path(ll)
         runs: list[list[int]] = []
@@ -241,15 +256,12 @@ class LanguageModel:
             else:
                 runs.append([lang, k, k + 1])
         out = []
-        for n, (lang, a, b) in enumerate(runs):
-            total = ll[a:b].sum(0)
-            margins = total[lang] - np.delete(total, lang)
-            if len(runs) == 1 and margins.min() < EVIDENCE:
-                return []
-            confidence = 1 / (1 + float(np.exp(-np.minimum(margins, 700)).sum()))
-            start = 0 if n == 0 else bounds[used[a]][0]
-            end = len(text) if n == len(runs) - 1 else bounds[used[runs[n + 1][1]]][0]
-            out.append((self.langs[keep[lang]], start, end, confidence))
+        for at, (lang, a, b) in enumerate(runs):
+            margins, true_margins = (np.delete(x[lang] - x, lang) for x in (ll[a:b].sum(0), true[a:b].sum(0)))
+            confidence = 1 / (1 + float(np.exp(-np.clip(true_margins, -700, 700)).sum()))
+            start = 0 if at == 0 else bounds[used[a]][0]
+            end = len(text) if at == len(runs) - 1 else bounds[used[runs[at + 1][1]]][0]
+            out.append((self.langs[keep[lang]], start, end, confidence, float(margins.min(initial=np.inf))))
         return out
 
     @staticmethod
@@ -310,39 +322,41 @@ def fit(samples: Sequence[tuple[DataFrame, str, str, str]], langs: Sequence[str]
     for _ in range(2):
         model = LanguageModel(langs, learn(counts(given), path), path)
         scores = model.unit_scores([t for _, t, _ in labelled])
-        ll, some = scores[:, :-1], scores[:, -1] > 0
+        ll, some = scores[:, : len(langs)], scores[:, -1] > 0
         best = ll.argmax(1)
         sure = ll[np.arange(len(ll)), best] - ll[np.arange(len(ll)), rows] > RELABEL
         given = [langs[b if s else r] if n else None for b, s, r, n in zip(best, sure, rows, some, strict=True)]
     return LanguageModel(langs, learn(counts(given), path), path)
 
 
-SEGMENTS = T.ArrayType(
-    T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
-)
-_ARROW = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
+SEGMENTS = T.ArrayType(T.StructType([*(T.StructField(n, t) for n, t in (("lang", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("confidence", T.DoubleType()), ("evidence", T.DoubleType())))]))
+_ARROW = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64()), ("evidence", pa.float64())]))
 
 
 def segments_of(spark: SparkSession, model: LanguageModel, text: Column, allowed: Sequence[str] | None = None) -> Column:
     """The segments of ``text`` as an array; the model, whose size the vocabulary bounds, is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
+    @once
     @F.arrow_udf(SEGMENTS)
     def find(texts: pa.Array) -> pa.Array:
         of = shared.value.segments
-        rows = [[{"lang": l, "start": a, "end": b, "confidence": c} for l, a, b, c in of(t, allowed)] for t in texts.to_pylist()]
+        rows = [[{"lang": l, "start": a, "end": b, "confidence": c, "evidence": e} for l, a, b, c, e in of(t, allowed)] for t in texts.to_pylist()]
         return pa.array(rows, _ARROW)
 
     return find(text)
 
 
 def identify(spark: SparkSession, model: LanguageModel, df: DataFrame, key: str, text: str, label: str, allowed: Sequence[str], source: str) -> DataFrame:
-    """(source_table, row_id, seg_no, lang, start, end, confidence, known_label, n_segments) of every text with words."""
+    """(source_table, row_id, seg_no, lang, start, end, confidence, evidence, known_label, n_segments) of every text with words."""
     rows = df.select(F.col(key).alias("row_id"), label_of(F.col(label), allowed).alias("known_label"), segments_of(spark, model, F.col(text), allowed).alias("segments"))
     flat = rows.select("row_id", "known_label", F.size("segments").alias("n_segments"), F.posexplode("segments").alias("n", "s"))
     return flat.select(F.lit(source).alias("source_table"), "row_id", (F.col("n") + 1).alias("seg_no"), "s.*", "known_label", "n_segments")
 
 
 def relabel_cases(found: DataFrame) -> DataFrame:
-    """The segments of texts whose label is missing, names another language, or which are in several languages."""
-    return found.where("n_segments > 1 OR known_label IS NULL OR known_label <> lang")
+    """The segments of texts whose label is missing, names another language, or which are in several languages.
+
+    A text in one language counts from ``EVIDENCE`` on.
+    """
+    return found.where(f"n_segments > 1 OR (evidence >= {EVIDENCE} AND (known_label IS NULL OR known_label <> lang))")
