@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.runtime import cut
+from maskwright.runtime import bounded, cut, discard, once
 
 #: How many times as frequent an original must be where the form alone does not show the error.
 MANY = 5
@@ -35,15 +35,14 @@ MANY = 5
 CLEAR = 10
 #: Share of documents with strong matches from which a weak match counts by itself.
 COMPANY = 0.5
-#: Rows up to which the table of errors is broadcast.
-BROADCAST_ROWS = 300_000
 #: Encodings that texts are taken for by mistake.
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
 #: Encodings in which such texts were written, and those that a double error passes.
 WRITTEN = ("cp1252", "mac_roman", "cp850")
 TWICE = ("cp1252", "latin-1")
 
-WORD = r"[A-Za-z]*[^\x00-\x7F][A-Za-z\x{80}-\x{10FFFF}]*"
+#: As _WORD; it starts at the beginning of words only and never goes back.
+WORD = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F][A-Za-z\x{80}-\x{10FFFF}]*+"
 _WORD = re.compile("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 _C1 = re.compile("[\x80-\xa0]")  # controls, and the no-break space that became a blank
 
@@ -113,14 +112,15 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), 0))
 
 
-def error_table(texts: DataFrame, text_column: str) -> DataFrame:
-    """(word, original, chain, strong, docs): the words of the corpus that are garbled forms of others.
+def error_table(words: DataFrame) -> DataFrame:
+    """(word, original, chain, strong, docs): the words of the corpus that are garbled forms of others, from a row for each word of each document.
 
-    ``original`` is null where several words could be meant. The distinct words are counted with map-side partial sums.
+    ``original`` is null where several words could be meant. The distinct words are counted with map-side partial sums and
+    joined with their garbled forms by shuffle, as both grow with the corpus.
     """
-    vocabulary = cut(texts.select(F.explode(words_of(F.col(text_column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs")))
+    vocabulary = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("docs")))
     forms = vocabulary.mapInArrow(_garble_batches, _FORMS)
-    found = vocabulary.join(forms, vocabulary.word == forms.form).where("word <> original")
+    found = vocabulary.hint("merge").join(forms.hint("merge"), vocabulary.word == forms.form).where("word <> original")
     lost = F.col("chain").endswith("controls lost")  # such forms may be ordinary words
     visible = (F.col("chain").startswith("utf-8>") & ~lost) | F.col("chain").endswith(">utf-8")
     plausible = found.withColumn("visible", visible).where("visible OR original_docs > docs")
@@ -136,28 +136,27 @@ def error_table(texts: DataFrame, text_column: str) -> DataFrame:
     return ranked.select("word", F.when(clear, F.col("best.original")).alias("original"), F.col("best.chain").alias("chain"), (F.col("visible") | spelled).alias("strong"), "docs")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if its row count is small enough for that, else to be shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find_garbled(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, errors): the garbled rows, each with an array of its wrong words (word, original, chain)."""
-    errors = cut(error_table(documents, text_column))
-    words = documents.select(F.col(id_column).alias("_id"), F.explode(words_of(F.col(text_column))).alias("word"))
-    matches = words.join(_bounded(errors), "word")
+    marked = documents.where(F.octet_length(text_column) != F.length(text_column))  # every character outside ASCII is part of a word
+    lists = cut(marked.select(F.col(id_column).alias("_id"), words_of(F.col(text_column)).alias("words")))  # the texts are read once
+    words = lists.select("_id", F.explode("words").alias("word"))
+    errors = cut(error_table(words))
+    matches = words.join(bounded(errors), "word")
     entry = F.struct("word", "original", "chain", "strong", "docs")
     rows = cut(matches.groupBy("_id").agg(F.collect_list(entry).alias("errors"), F.max("strong").alias("sure")))
+    discard(lists)
     weak = rows.select("sure", F.explode(F.filter("errors", lambda e: ~e.strong)).alias("e")).groupBy("e.word")
     trusted = weak.agg(F.avg(F.col("sure").cast("int")).alias("company")).where(F.col("company") >= COMPANY).select("word")
     only_weak = rows.where("NOT sure").select("_id", F.explode("errors").alias("e")).select("_id", "e.word")
-    also = only_weak.join(_bounded(cut(trusted)), "word", "left_semi").select("_id").distinct().withColumn("also", F.lit(True))
+    also = only_weak.join(bounded(cut(trusted)), "word", "left_semi").select("_id").distinct().withColumn("also", F.lit(True))
     found = rows.join(also, "_id", "left").where("sure OR also")
     sure_chains = F.transform(F.filter("errors", lambda e: e.strong), lambda e: e.chain)
     kept = F.filter("errors", lambda e: e.strong | F.col("also") | F.array_contains("_chains", e.chain))
     return found.withColumn("_chains", sure_chains).select(F.col("_id").alias(id_column), F.transform(kept, lambda e: F.struct(e.word.alias("word"), e.original.alias("original"), e.chain.alias("chain"))).alias("errors"))
 
 
+@once
 @F.arrow_udf(T.StringType())
 def _substitute(texts: pa.Array, words: pa.Array, originals: pa.Array) -> pa.Array:
     out = []
