@@ -1,11 +1,15 @@
 """Problem 8: mixing sources to target shares of the total size in tokens.
 
-Every document has a membership in the domains (sources): the labelled ones in theirs, the others as a classifier trained on
-labelled rows predicts. The total size is the largest at which every domain that has documents can still reach its share with
-no document used more often than allowed. Nonnegative rates of the documents are then fitted by projected-gradient least squares, so that the
-expected tokens of each domain match its target: the gradient of a document depends on its membership only, so that documents are first summed, where they
-lie, by membership (kept to steps of 1/``GRID``, so that the sums are bounded) and limit, and the iterations run on these sums. A document's copies are the whole part of its rate
-and one more with the probability of the rest, decided by a hash of its id.
+Every document has a membership in the domains (sources): the posterior given its label where it has one, which is certainty, else the posterior of a
+classifier trained on labelled rows. It counts for one domain, drawn from its membership. The total size is the largest at which every
+domain that has documents can still reach its share with no document used more often than its domain allows. Nonnegative rates of the documents
+are then fitted by projected-gradient least squares, so that the expected tokens of each domain match its target. An iteration is one pass over
+the documents where they lie: a document's rate follows from its membership and the steps so far, a number a domain each, and only the sums of
+expected tokens by domain reach the driver. At last the rates of each domain are scaled to what the drawn domains ask for.
+
+A document's copies are the whole part of its rate and one more for those at which the running sum of the rests, in order of size, passes a
+whole number (systematic rounding); so the tokens of a domain are off by about one document. The running sums go over bins of sizes first, so
+that a domain with a third of all rows is not gathered in a task.
 
 Defined results: null and empty texts have no tokens and are not used; documents of a source without a target are not used; sources with a
 target but no documents stay at a share of zero and the others keep their ratios; null or zero repeats mean that a source is not used.
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,15 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from maskwright.llm.encode import DEFAULT_VOCABULARY, token_count
-from maskwright.runtime import cut
+from maskwright.runtime import bounded, cut, once
 
-#: Steps in which memberships are kept.
-GRID = 16
 #: Labelled rows of each source that the classifier learns from, those with the smallest hash of their id.
 SAMPLE = 300
 BUCKETS = 1024
+#: Passes of the least squares at most, and the change of a domain's expected share of its goal at which they end.
+ROUNDS, CLOSE = 60, 1e-4
+#: Passes in which rates are scaled to the drawn domains, at most.
+SCALINGS = 20
+#: Parts of a copy in which rests are summed, and groups into which the documents of a size are cut.
+UNIT, SALTS = 1 << 20, 16
 #: Fixed value: what counts as a word.
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -42,15 +51,15 @@ def _bucket(name: str) -> int:
 
 
 def features(text: str | None, labels: Sequence[object]) -> np.ndarray:
-    """Hashed words and marks of layout, normalised to length 1, and the values of other columns."""
+    """Hashed words, normalised to length 1, the signs and blanks that occur, and the values of other columns."""
     x = np.zeros(BUCKETS)
     text = text or ""
     for word in set(_WORD.findall(text.casefold())):
         x[_bucket("w" + word)] += 1
     if n := np.linalg.norm(x):
         x /= n
-    for name, there in (("cr", "\r" in text), ("markup", "<" in text), ("paragraph numbers", "[00" in text), ("tab", "\t" in text), ("lost", "�" in text)):
-        x[_bucket("m" + name)] += 0.5 * there
+    for sign in {ch for ch in set(text) if not ch.isalnum()}:
+        x[_bucket("s" + sign)] += 0.5
     for k, value in enumerate(labels):
         x[_bucket(f"c{k}={value}")] += 0.5
     return x
@@ -82,35 +91,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def on_grid(p: np.ndarray, steps: int = GRID) -> np.ndarray:
-    """Memberships in whole steps that sum to ``steps``, by largest remainders."""
-    scaled = p * steps
-    out = np.floor(scaled).astype(int)
-    for k in np.argsort(out - scaled)[: steps - out.sum()]:
-        out[k] += 1
-    return out
-
-
-def fit_rates(members: np.ndarray, tokens: np.ndarray, limits: np.ndarray, goals: np.ndarray, rounds: int = 500, close: float = 1e-7) -> np.ndarray:
-    """Rates in [0, limit] of groups of documents whose expected tokens by domain come closest to ``goals``.
-
-    Projected gradient on 1/2 sum_d (expected_d - goal_d)^2 / available_d, in the metric of the groups' tokens.
-    """
-    available = np.maximum(members.T @ tokens, 1e-9)
-    rates = np.zeros(len(tokens))
-    for _ in range(rounds):
-        residual = members.T @ (rates * tokens) - goals
-        step = np.clip(rates - members @ (residual / available), 0, limits)
-        moved = np.abs(step - rates).max(initial=0)
-        rates = step
-        if moved < close:
-            break
-    return rates
-
-
 def _learn(labelled: DataFrame, key: str, text: str, source: str, others: Sequence[str], domains: Sequence[str], sample: int) -> DomainClassifier | None:
-    from pyspark.sql.window import Window
-
     hashed = labelled.where(F.col(source).isin(*domains)).select(F.col(key).alias("id"), F.col(source).alias("s"), F.xxhash64(key).alias("h"))
     chosen = hashed.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("h", "id"))).where(F.col("n") <= sample).select(F.col("id").alias("_chosen")).distinct()
     rows = labelled.join(F.broadcast(chosen), F.col(key) == F.col("_chosen"), "left_semi").where(F.col(source).isin(*domains)).select(text, source, *others).collect()  # at most sample rows a source
@@ -120,60 +101,132 @@ def _learn(labelled: DataFrame, key: str, text: str, source: str, others: Sequen
     return DomainClassifier.fit(domains, x, np.array([list(domains).index(r[1]) for r in rows]))
 
 
-def mix(
-    documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, others: Sequence[str] = (), path: str = DEFAULT_VOCABULARY, sample: int = SAMPLE, most_sources: int = 1000
-) -> tuple[DataFrame, DataFrame]:
+def rates_after(members: np.ndarray, limits: np.ndarray, steps: Sequence[np.ndarray]) -> np.ndarray:
+    """The documents' rates after the given gradient steps from zero, each projected on [0, limit]."""
+    rates = np.zeros(len(members))
+    for step in steps:
+        rates = np.clip(rates - members @ step, 0, limits)
+    return rates
+
+
+def _columns(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    members, tokens, limits = (batch.column(c) for c in ("membership", "tokens", "most"))
+    return np.asarray(members.flatten(), float).reshape(-1, n), np.asarray(tokens, float), np.asarray(limits, float)
+
+
+def fit_rates(sized: DataFrame, goals: np.ndarray, rounds: int = ROUNDS, close: float = CLOSE) -> list[np.ndarray]:
+    """Gradient steps after which the expected tokens of (membership, tokens, most) rows by domain come closest to ``goals``.
+
+    Projected gradient on 1/2 sum_d (expected_d - goal_d)^2 / available_d, in the metric of the documents' tokens; a pass over the rows each.
+    """
+    n = len(goals)
+
+    def totals(steps: list[np.ndarray] | None) -> np.ndarray:
+        """Expected tokens by domain after ``steps``, or all that are available."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n)
+            for batch in batches:
+                members, tokens, most = _columns(batch, n)
+                total += members.T @ (tokens if steps is None else tokens * rates_after(members, most, steps))
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], ["d", "x"])
+
+        out = np.zeros(n)
+        for r in sized.select("membership", "tokens", "most").mapInArrow(sums, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect():  # one row a domain
+            out[r.d] = r.x
+        return out
+
+    available = np.maximum(totals(None), 1e-9)
+    steps = [-goals / available]
+    before = np.zeros(n)
+    for _ in range(rounds):
+        expected = totals(steps)
+        if np.abs(expected - before).max() <= close * max(goals.max(), 1e-9):
+            break
+        before = expected
+        steps.append((expected - goals) / available)
+    return steps
+
+
+def mix(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, others: Sequence[str] = (), path: str = DEFAULT_VOCABULARY, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, domain, tokens, rate, copies) and the report (source, target_share, ..., actual_share).
 
-    ``domain`` is the label, or a domain drawn from the membership of a document without one. ``targets`` has source, target_share and max_repeat, at most
-    ``most_sources`` rows; of repeated sources the first in order of share counts.
+    ``domain`` is the label, or a domain drawn from the membership of a document without one. ``targets`` has source, target_share and max_repeat; it is
+    the list of the classifier's classes and read as a whole. Of repeated sources the first in order of share counts.
     """
     spark = documents.sparkSession
-    rows = targets.where("source IS NOT NULL").orderBy("source", "target_share", "max_repeat").limit(most_sources + 1).collect()
-    if len(rows) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
+    rows = targets.where("source IS NOT NULL").orderBy("source", "target_share", "max_repeat").collect()  # one row a class of the model
     goals = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeat"] or 0)) for r in reversed(rows)}
     names = [n for n, (share, most) in sorted(goals.items()) if share > 0 and most > 0]
     model = _learn(documents, key, text, source, others, names, sample) if names else None
     known = list(model.domains) if model else []
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @once
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def soft(texts: pa.Array, *columns: pa.Array) -> pa.Array:
         values = [c.to_pylist() for c in columns]
-        out = []
-        for k, t in enumerate(texts.to_pylist()):
-            out.append(None if t is None or model is None else on_grid(model.posteriors(features(t, [v[k] for v in values])[None])[0]).tolist())
-        return pa.array(out, pa.list_(pa.int32()))
+        given = texts.to_pylist()
+        out: list = [None] * len(given)
+        at = [k for k, t in enumerate(given) if t is not None and model is not None]
+        if at:
+            for k, p in zip(at, model.posteriors(np.stack([features(given[k], [v[k] for v in values]) for k in at])).tolist(), strict=True):
+                out[k] = p
+        return pa.array(out, pa.list_(pa.float64()))
 
     label = F.col(source)
-    one_hot = F.array(*[F.when(label == n, F.lit(GRID)).otherwise(F.lit(0)) for n in known]).cast("array<int>") if known else F.lit(None).cast("array<int>")
+    one_hot = F.array(*[F.when(label == n, F.lit(1.0)).otherwise(F.lit(0.0)) for n in known]) if known else F.lit(None).cast("array<double>")
     guess = soft(F.when(label.isNull() & (F.length(text) > 0), F.col(text)), *[F.col(c) for c in others])
-    sized = documents.where(label.isNull() | label.isin(*names)).select(
+    read = documents.where(label.isNull() | label.isin(*names)).select(
         F.col(key).alias("id"), label.alias("source"), token_count(F.col(text), path).alias("tokens"), F.when(label.isNull(), guess).otherwise(one_hot).alias("membership")
     )
-    sized = cut(sized.where("tokens > 0 AND membership IS NOT NULL"))
-    sums = sized.groupBy("membership").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).collect()  # bounded by the grid
-    members = np.array([r["membership"] for r in sums], float).reshape(len(sums), len(known)) / GRID
-    tokens = np.array([r["tokens"] for r in sums], float)
-    most = np.array([goals[n][1] for n in known], float)
-    limits = np.array([min((most[d] for d in np.flatnonzero(m > 0)), default=0) for m in members])
-    share = np.array([goals[n][0] for n in known])
-    reach = members.T @ (tokens * limits) if len(sums) else np.zeros(len(known))
+    # a document counts for one domain, drawn from its membership
+    drawn = F.pmod(F.xxhash64("id", F.lit("domain")), F.lit(UNIT)) / F.lit(float(UNIT))
+    reached = F.transform("membership", lambda _, i: F.aggregate(F.slice("membership", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
+    place = F.least(F.size(F.filter(reached, lambda c: c <= drawn)) + 1, F.lit(max(len(known), 1)))
+    domain = F.coalesce("source", F.try_element_at(F.array(*map(F.lit, known)), place)) if known else F.lit(None).cast("string")
+    most = F.coalesce(*[F.when(F.col("domain") == n, F.lit(float(goals[n][1]))) for n in known], F.lit(0.0))
+    sized = cut(read.where("tokens > 0 AND membership IS NOT NULL").withColumn("domain", domain).withColumn("most", most))
+
+    by_domain = {r.domain: r.reach for r in sized.groupBy("domain").agg(F.sum(F.col("tokens") * F.col("most")).alias("reach")).collect()}
+    share, reach = np.array([goals[n][0] for n in known]), np.array([float(by_domain.get(n) or 0) for n in known])
     there = reach > 0
     total = float((reach[there] / share[there]).min()) * share[there].sum() if there.any() else 0.0
-    wanted = np.where(there, share / max(share[there].sum(), 1e-12) * total, 0.0) if there.any() else np.zeros(len(known))
-    rates = fit_rates(members, tokens, limits, wanted) if len(sums) else np.zeros(0)
-    groups = spark.createDataFrame([(r["membership"], float(x)) for r, x in zip(sums, rates, strict=True)], "membership array<int>, rate double")
-    chance = (F.xxhash64("id", F.lit("copies")).bitwiseAND(F.lit((1 << 53) - 1)).cast("double")) / float(1 << 53)
-    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    # a document without a label counts for one domain, drawn from its membership, so that the shares come out as expected
-    reached = F.transform(F.sequence(F.lit(1), F.lit(max(len(known), 1))), lambda i: F.aggregate(F.slice("membership", 1, i), F.lit(0), lambda a, b: a + b))
-    drawn = F.pmod(F.xxhash64("id", F.lit("domain")), F.lit(GRID))
-    domain = F.try_element_at(F.array(*map(F.lit, known)), F.size(F.filter(reached, lambda c: c <= drawn)) + 1) if known else F.lit(None).cast("string")
-    used = sized.join(F.broadcast(groups), "membership").withColumn("copies", copies).withColumn("domain", domain).where("copies > 0")
-    mixture = used.select(F.col("id").alias(key), "source", "domain", "tokens", "rate", "copies")
-    by_domain = mixture.groupBy("domain").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    report = spark.createDataFrame([(n, s, m) for n, (s, m) in sorted(goals.items())], "source string, target_share double, max_repeat int").join(by_domain.withColumnRenamed("domain", "source"), "source", "left")
+    wanted = np.where(there, share / max(share[there].sum(), 1e-12) * total, 0.0)
+    steps = fit_rates(sized, wanted) if there.any() else []
+
+    @once
+    @F.arrow_udf(T.DoubleType())
+    def rate(members: pa.Array, limits: pa.Array) -> pa.Array:
+        return pa.array(rates_after(np.asarray(members.flatten(), float).reshape(len(members), -1), np.asarray(limits, float), steps))
+
+    rated = cut(sized.withColumn("rate", rate(F.col("membership"), F.col("most"))).drop("membership"))
+    factors = dict.fromkeys(known, 1.0)
+    scaled = lambda: F.least("most", F.col("rate") * F.coalesce(*[F.when(F.col("domain") == n, F.lit(f)) for n, f in factors.items()], F.lit(0.0)))
+    for _ in range(SCALINGS if there.any() else 0):
+        capped = F.col("rate") * F.coalesce(*[F.when(F.col("domain") == n, F.lit(f)) for n, f in factors.items()]) >= F.col("most")
+        sums = rated.groupBy("domain").agg(F.sum(scaled() * F.col("tokens")).alias("all"), F.sum(F.when(capped, F.col("most") * F.col("tokens")).otherwise(0.0)).alias("capped")).collect()  # one row a domain
+        got = {r.domain: (r["all"], r["all"] - r.capped, w) for n, w in zip(known, wanted, strict=True) for r in sums if r.domain == n and w > 0}
+        if all(abs(x / w - 1) < CLOSE for x, _, w in got.values()):
+            break
+        stuck = [x / w for x, free, w in got.values() if x < w and free < CLOSE * w]
+        if stuck:  # nothing is left to scale up in a domain: all others follow it
+            wanted = wanted * min(stuck)
+            continue
+        factors |= {n: factors[n] * (w - x + free) / free for n, (x, free, w) in got.items() if free > CLOSE * w and w > x - free}
+        factors |= {n: factors[n] * w / x for n, (x, free, w) in got.items() if w <= x - free}
+
+    parts = rated.withColumn("rate", scaled()).withColumn("whole", F.floor("rate")).withColumn("rest", F.round((F.col("rate") - F.col("whole")) * UNIT).cast("long"))
+    binned = parts.withColumn("bin", F.floor(F.log2("tokens") * 16)).withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)))
+    group = ["domain", "bin", "salt"]
+    sums = binned.groupBy(*group).agg(F.sum("rest").alias("sum"))  # as many rows a domain as there are bins and salts
+    earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("domain").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = bounded(cut(sums.select(*group, earlier.alias("before"))))
+    running = F.col("before") + F.sum("rest").over(Window.partitionBy(*group).orderBy("tokens", "id").rowsBetween(Window.unboundedPreceding, 0)) + UNIT // 2
+    extra = F.floor(running / UNIT) - F.floor((running - F.col("rest")) / UNIT)
+    used = binned.join(begun, group).select("id", "source", "domain", "tokens", "rate", (F.col("whole") + extra).cast("int").alias("copies")).where("copies > 0")
+    mixture = used.withColumnRenamed("id", key)
+    counted = used.groupBy("domain").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
+    report = spark.createDataFrame([(n, s, m) for n, (s, m) in sorted(goals.items())], "source string, target_share double, max_repeat int").join(counted.withColumnRenamed("domain", "source"), "source", "left")
     whole = report.agg(F.sum("tokens").alias("whole"))
     report = report.join(F.broadcast(whole), F.lit(True)).select(
         "source", "target_share", "max_repeat", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_copies")], F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share")
