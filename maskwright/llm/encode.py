@@ -14,15 +14,18 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.runtime import once
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker keeps; beyond it the table starts anew, which changes no result.
 KEPT = 1 << 20
@@ -55,9 +58,12 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
+def parse_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return parse_ranks(Path(path).read_bytes())
 
 
 def serialise_model(ranks: dict[bytes, int]) -> bytes:
@@ -78,10 +84,10 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 class _Encoded(dict):
     """Packed ids of pre-tokens, encoded where they are missing."""
 
-    def __init__(self, path: str):
+    def __init__(self, ranks: dict[bytes, int]):
         import sentencepiece
 
-        self._model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(read_ranks(path)))
+        self._model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self._text = printable_bytes()
 
     def __missing__(self, piece: str) -> bytes:
@@ -109,17 +115,16 @@ class _Chunks(dict):
 
 
 class ByteEncoder:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary, given as its tokens and their ranks."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY):
+    def __init__(self, ranks: dict[bytes, int]):
         import regex
 
         self._pieces = regex.compile(PATTERN).findall
-        self._encoded = _Encoded(path)
+        self._encoded = _Encoded(ranks)
         self._chunks = _Chunks(self._join)
         self._runs = re.compile(r" (?:\s|$)").search  # a superset of the pattern's white space
-        self._tokens: list[bytes] | None = None
-        self._path = path
+        self._tokens = sorted(ranks, key=ranks.__getitem__)
 
     def _join(self, text: str) -> bytes:
         return b"".join(map(self._encoded.__getitem__, self._pieces(text)))
@@ -144,14 +149,27 @@ class ByteEncoder:
         """The text of ``ids``; null for null. Bytes that are no UTF-8 become the replacement character."""
         if ids is None:
             return None
-        if self._tokens is None:
-            self._tokens = [token for token, _ in sorted(read_ranks(self._path).items(), key=lambda item: item[1])]
         return b"".join([self._tokens[i] for i in ids]).decode(errors="replace")
 
 
 @lru_cache(4)
-def encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
+def encoder(path: str = DEFAULT_VOCABULARY) -> ByteEncoder:
+    return ByteEncoder(read_ranks(path))
+
+
+_encoders: dict[str, ByteEncoder] = {}
+
+
+def shipped_encoder(spark: SparkSession, path: str) -> Callable[[], ByteEncoder]:
+    """For use in tasks: the encoder, built once in each worker from the file's bytes, which the driver reads and broadcasts."""
+    content = spark.sparkContext.broadcast(Path(path).read_bytes())
+
+    def of() -> ByteEncoder:
+        if path not in _encoders:
+            _encoders[path] = ByteEncoder(parse_ranks(content.value))
+        return _encoders[path]
+
+    return of
 
 
 def _lists(packed: list[bytes]) -> pa.Array:
@@ -163,9 +181,10 @@ def _lists(packed: list[bytes]) -> pa.Array:
 
 def encode_texts(df: DataFrame, id_column: str, text_column: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(id, ids) of every row, one list per row and repeated rows each; no shuffle."""
+    of = shipped_encoder(df.sparkSession, path)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = encoder(path).packed
+        packed = of().packed
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([packed(x) for x in texts])], [id_column, "ids"])
@@ -177,10 +196,12 @@ def encode_texts(df: DataFrame, id_column: str, text_column: str, path: str = DE
 
 def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """Number of tokens of ``text``; 0 for the empty text and null."""
+    of = shipped_encoder(SparkSession.active(), path)
 
+    @once
     @F.arrow_udf(T.LongType())
     def count(texts: pa.Array) -> pa.Array:
-        packed = encoder(path).packed
+        packed = of().packed
         return pa.array([len(packed(x)) // 4 for x in texts.to_pylist()], pa.int64())
 
     return count(text)
@@ -188,10 +209,12 @@ def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
 
 def decode_ids(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """The text that ``ids`` stand for."""
+    of = shipped_encoder(SparkSession.active(), path)
 
+    @once
     @F.arrow_udf(T.StringType())
     def decode(lists: pa.Array) -> pa.Array:
-        back = encoder(path).decode
+        back = of().decode
         return pa.array([back(x) for x in lists.to_pylist()], pa.string())
 
     return decode(ids)

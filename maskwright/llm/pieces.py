@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.runtime import once
+
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, NONE = 5, 4, 3, 2, 1, 0
 _ATOM = re.compile(r"\s*\S+\s*|\s+")
 _CLOSERS = "\"'»”’)]}›"
@@ -88,6 +90,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+@once
 @F.arrow_udf(_SPANS)
 def _cut_arrow(texts: pa.Array, limits: pa.Array, overlaps: pa.Array) -> pa.Array:
     rows = zip(texts.to_pylist(), limits.to_pylist(), overlaps.to_pylist(), strict=True)
