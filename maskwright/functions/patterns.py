@@ -74,7 +74,7 @@ LEAKS = (
     ("PHONE", r"(?:\+|00)[1-9][0-9]{7,14}|0[1-9][0-9]{6,11}"),
     ("IBAN", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"),
     ("CREDIT_CARD", r"[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}"),
-    ("IP_ADDRESS", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
+    ("IP_ADDRESS", r"(?:\d{1,3}\.){3}\d{1,3}"),
 )
 
 # Country codes of bank identifiers.

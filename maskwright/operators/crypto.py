@@ -1,4 +1,7 @@
-"""Encrypted maps: AES-GCM by the JVM's own functions, keys kept out of plans by way of a bound variable."""
+"""Encrypted maps: AES-GCM by the JVM's own functions.
+
+A key is broadcast and comes into the plan as the result of a function, so that neither plans nor event logs show it.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,12 @@ import hmac
 import os
 from typing import Protocol
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from maskwright.runtime import once
 
 IV_BYTES, TAG_BYTES, KEY_BYTES, SALT_BYTES, ROUNDS = 12, 16, 32, 16, 100_000
 
@@ -64,9 +71,24 @@ class ConfiguredKey:
         return self._key
 
 
-def encrypt_map(originals: Column, key: Column | bytes) -> Column:
-    """Struct of ciphertext, iv and auth_tag, all base64. A literal key shows in the plan: pass a column where plans are logged."""
-    secret = F.lit(key) if isinstance(key, bytes) else key
+def key_column(key: bytes | KeyProvider) -> Column:
+    """The key as a column; its bytes reach the tasks by a broadcast."""
+    secret = key if isinstance(key, bytes) else key.key()
+    if not valid_key(secret):
+        raise ValueError(f"the key must have {KEY_BYTES} bytes")
+    shared = SparkSession.active().sparkContext.broadcast(secret)
+
+    @once
+    @F.arrow_udf(T.BinaryType())
+    def held(rows: pa.Array) -> pa.Array:
+        return pa.array([shared.value] * len(rows), pa.binary())
+
+    return held(F.lit(True))
+
+
+def encrypt_map(originals: Column, key: Column | bytes | KeyProvider) -> Column:
+    """Struct of ciphertext, iv and auth_tag, all base64; null for null."""
+    secret = key if isinstance(key, Column) else key_column(key)
     # A nonce of its own that the optimiser knows to be random: what reads a part of the struct must not seal again.
     nonce = F.substring(F.unhex(F.sha2(F.uuid(), 256)), 1, IV_BYTES)
     sealed = F.aes_encrypt(F.encode(F.to_json(originals), "UTF-8"), secret, F.lit("GCM"), F.lit("DEFAULT"), nonce)
@@ -74,8 +96,8 @@ def encrypt_map(originals: Column, key: Column | bytes) -> Column:
     return F.when(originals.isNotNull(), F.element_at(parts, 1))
 
 
-def decrypt_map(sealed: Column, key: Column | bytes) -> Column:
+def decrypt_map(sealed: Column, key: Column | bytes | KeyProvider) -> Column:
     """The map of an encrypted struct; null for a wrong key or altered bytes."""
-    secret = F.lit(key) if isinstance(key, bytes) else key
+    secret = key if isinstance(key, Column) else key_column(key)
     whole = F.concat(F.unbase64(sealed.iv), F.unbase64(sealed.ciphertext), F.unbase64(sealed.auth_tag))
     return F.from_json(F.decode(F.try_aes_decrypt(whole, secret, F.lit("GCM")), "UTF-8"), "map<string,string>")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from maskwright.operators.recognise import ARROW_SPANS
 from maskwright.policy import NER, SPANS, Policy, Span, label_type
+from maskwright.runtime import once
 
 DEFAULT_LABELS = ("O", "B-DATE", "I-DATE", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC")
 SPECIAL = frozenset(("[PAD]", "[CLS]", "[SEP]", "<pad>", "<s>", "</s>"))
@@ -34,17 +35,36 @@ def read_vocabulary(content: str) -> dict[str, int]:
     """Tokens and ids of a vocabulary: one token a line, or a tokeniser's JSON with a list or a map of tokens."""
     if not content.lstrip().startswith("{"):
         return {t.strip(): i for i, t in enumerate(content.splitlines()) if t.strip()}
-    data = json.loads(content)
+    try:
+        data = json.loads(content)
+    except ValueError as e:
+        raise ValueError(f"the vocabulary is no valid JSON: {e}") from e
     vocabulary = {t["content"]: t["id"] for t in data.get("added_tokens", ())}
     model = data.get("model", {}).get("vocab", {})
     return vocabulary | ({entry[0]: i for i, entry in enumerate(model)} if isinstance(model, list) else dict(model))
 
 
+def load_vocabulary(path: str) -> dict[str, int]:
+    """``read_vocabulary`` of a file; ship its result, not the path, to the workers."""
+    with open(path, encoding="utf-8") as file:
+        return read_vocabulary(file.read())
+
+
+def test_vocabulary() -> dict[str, int]:
+    """A vocabulary for tests: the frame tokens, and the signs of ASCII, each with and without the mark of a word's start."""
+    letters = [chr(c) for c in range(33, 127)]
+    return {t: i for i, t in enumerate(["<s>", "<pad>", "</s>", "<unk>", *[WORD_START + c for c in letters], *letters])}
+
+
+test_vocabulary.__test__ = False
+
+
 class Tokeniser:
     """Greedy longest match over a trie-like set of known lengths; words begin with the mark ``▁`` where the vocabulary has it."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = 512, lower: bool = False):
         self.vocabulary, self.most, self.lower = vocabulary, most, lower
+        self.tokens = {i: t for t, i in vocabulary.items()}
         self.longest = max((len(t) for t in vocabulary), default=1)
         pick = lambda *names: next((vocabulary[n] for n in names if n in vocabulary), 0)
         self.begin, self.finish, self.unknown = pick("<s>", "[CLS]"), pick("</s>", "[SEP]"), pick("<unk>", "[UNK]")
@@ -74,9 +94,15 @@ class Tokeniser:
             at, starts = at + size, False
         return [*out, Token(self.finish, "</s>", len(text), len(text), False, True)]
 
+    def token(self, number: int) -> str | None:
+        return self.tokens.get(number)
+
+    def number(self, token: str) -> int:
+        """The id of a token, that of the unknown one if it is not known."""
+        return self.vocabulary.get(token, self.unknown)
+
     def decode(self, ids: Sequence[int]) -> str:
-        back = {i: t for t, i in self.vocabulary.items()}
-        return "".join(back.get(i, "") for i in ids if back.get(i) not in SPECIAL).replace(WORD_START, " ").strip()
+        return "".join(self.tokens.get(i, "") for i in ids if self.tokens.get(i) not in SPECIAL).replace(WORD_START, " ").strip()
 
 
 def softmax_best(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,29 +171,55 @@ def merge_adjacent(spans: Sequence[Span], text: str, most: int = 1) -> list[Span
     return out
 
 
+@dataclass(frozen=True)
+class ModelInfo:
+    """A model that a registry offers: labels of its outputs and the files that its folder must have."""
+
+    name: str
+    files: tuple[str, ...] = ("model.onnx",)
+    labels: tuple[str, ...] = DEFAULT_LABELS
+
+
+#: Models by kind; the files are put in place by the caller.
+MODELS = {kind: ModelInfo(f"multilingual, {kind}") for kind in ("standard", "quantized")}
+
+
 Predictor = Callable[[list[list[int]]], list[np.ndarray]]
 
 
 class Model:
     """Spans of texts by a predictor of logits; without one there are none."""
 
-    def __init__(self, tokeniser: Tokeniser | None = None, predictor: Predictor | None = None, labels: Sequence[str] = DEFAULT_LABELS, version: str = "stub-1.0.0"):
-        self.tokeniser, self.predictor, self.labels, self.version = tokeniser, predictor, tuple(labels), version
+    def __init__(self, tokeniser: Tokeniser | None = None, predictor: Predictor | None = None, labels: Sequence[str] = DEFAULT_LABELS, version: str = "stub-1.0.0", batch: int = 16):
+        self.tokeniser, self.predictor, self.labels, self.version, self.batch = tokeniser, predictor, tuple(labels), version, batch
 
     def predict(self, text: str, policy: Policy) -> list[Span]:
+        return self.predict_all([text], policy)[0]
+
+    def predict_all(self, texts: Sequence[str], policy: Policy) -> list[list[Span]]:
+        """Spans of each text; ``batch`` texts of similar length go to the model at a time."""
         wanted = policy.enabled & policy.ner_enabled
-        if not (self.tokeniser and self.predictor and text and wanted):
-            return []
-        tokens = self.tokeniser.tokenise(text)
-        best, sure = softmax_best(np.asarray(self.predictor([[t.id for t in tokens]])[0]))
+        out: list[list[Span]] = [[] for _ in texts]
+        if not (self.tokeniser and self.predictor and wanted):
+            return out
+        tokens = [self.tokeniser.tokenise(t) if t else [] for t in texts]
+        order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: len(tokens[k]))
+        for first in range(0, len(order), self.batch):
+            some = order[first : first + self.batch]
+            for k, logits in zip(some, self.predictor([[t.id for t in tokens[k]] for k in some]), strict=True):
+                out[k] = self._spans(texts[k], tokens[k], np.asarray(logits), wanted, policy)
+        return out
+
+    def _spans(self, text: str, tokens: Sequence[Token], logits: np.ndarray, wanted: frozenset[str], policy: Policy) -> list[Span]:
+        best, sure = softmax_best(logits)
         labels = [self.labels[i] if i < len(self.labels) else "O" for i in best]
         least = min((policy.thresholds.get(t, 0.5) for t in wanted), default=1.0)
         spans = [trim_span(s) for s in entity_spans(decode_labels(tokens, labels, sure.tolist()), text, least)]
         return [s for s in merge_adjacent(spans, text) if s.type in wanted and s.confidence >= policy.thresholds.get(s.type, 0.5)]
 
 
-def onnx_predictor(path: str, threads: int = 1) -> Predictor:
-    """Predictor of a model file, opened once in each worker process."""
+def onnx_predictor(path: str, threads: int = 1, padding: int = 1) -> Predictor:
+    """Predictor of a model file, opened once in each worker process; texts of a batch are padded to the longest."""
     state: dict = {}
 
     def predict(batches: list[list[int]]) -> list[np.ndarray]:
@@ -178,11 +230,12 @@ def onnx_predictor(path: str, threads: int = 1) -> Predictor:
             options.intra_op_num_threads = threads
             state["session"] = onnxruntime.InferenceSession(path, options)
         session = state["session"]
-        out = []
-        for ids in batches:
-            feeds = {"input_ids": np.array([ids], np.int64), "attention_mask": np.ones((1, len(ids)), np.int64), "token_type_ids": np.zeros((1, len(ids)), np.int64)}
-            out.append(session.run(None, {i.name: feeds[i.name] for i in session.get_inputs()})[0][0])
-        return out
+        size = max(map(len, batches), default=0)
+        padded = np.array([[*ids, *[padding] * (size - len(ids))] for ids in batches], np.int64)
+        mask = np.array([[1] * len(ids) + [0] * (size - len(ids)) for ids in batches], np.int64)
+        feeds = {"input_ids": padded, "attention_mask": mask, "token_type_ids": np.zeros_like(padded)}
+        logits = session.run(None, {i.name: feeds[i.name] for i in session.get_inputs()})[0]
+        return [row[: len(ids)] for row, ids in zip(logits, batches, strict=True)]
 
     return predict
 
@@ -190,9 +243,12 @@ def onnx_predictor(path: str, threads: int = 1) -> Predictor:
 def detect_named(text: Column, model: Model, policy: Policy) -> Column:
     """Spans of the model as an array column; one Arrow crossing."""
 
+    @once
     @F.arrow_udf(SPANS)
     def find(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [s.row() for s in model.predict(t, policy)] for t in texts.to_pylist()], ARROW_SPANS)
+        given = texts.to_pylist()
+        found = model.predict_all([t or "" for t in given], policy)
+        return pa.array([None if t is None else [s.row() for s in spans] for t, spans in zip(given, found, strict=True)], ARROW_SPANS)
 
     return find(text)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks as C
 from maskwright.functions import patterns as P
 from maskwright.policy import REGEX, SPANS, IdPattern, Policy, Span
+from maskwright.runtime import once
 
 
 def _distinct(spans: Iterable[Span]) -> list[Span]:
@@ -35,9 +37,20 @@ def longer(a: Span, b: Span) -> bool:
     return a.end - a.start > b.end - b.start
 
 
+Parts = Iterable[tuple[int, int, int]]
+
+
+def whole(text: str, patterns: int) -> Parts:
+    return [(k, 0, len(text)) for k in range(patterns)]
+
+
 @dataclass(frozen=True)
 class Recogniser:
-    """Patterns in order, with their confidence, a check and a rule for spans that meet."""
+    """Patterns in order, with their confidence, checks and a rule for spans that meet.
+
+    ``where`` gives, for a text and the number of patterns, the (pattern, start, end) outside of which that pattern cannot match, by pattern and
+    position; a part includes the character behind what can match.
+    """
 
     type: str
     name: str
@@ -47,23 +60,84 @@ class Recogniser:
     better: Callable[[Span, Span], bool] | None = None
     last_check: Callable[[str], bool] | None = None  # for matches of the last pattern only
     span_types: tuple[str, ...] = ()
+    checks: tuple[Callable[[str], bool] | None, ...] = ()  # for the matches of each pattern
+    where: Callable[[str, int], Parts] = whole
 
     def find(self, text: str) -> list[Span]:
         found = []
-        for k, (rx, confidence) in enumerate(self.patterns):
+        last = len(self.patterns) - 1
+        for k, a, b in self.where(text, last + 1):
+            rx, confidence = self.patterns[k]
             kind = self.span_types[k] if self.span_types else self.type
-            for m in rx.finditer(text):
-                if self.validate(m[0]) and (self.last_check is None or k < len(self.patterns) - 1 or self.last_check(m[0])):
+            check = self.checks[k] if self.checks else self.last_check if k == last else None
+            for m in rx.finditer(text, a, b):
+                if self.validate(m[0]) and (check is None or check(m[0])):
                     found.append(Span(kind, m.start(), m.end(), confidence, REGEX, m[0]))
-        found = _distinct(found)
+        if len(found) > 1:
+            found = _distinct(found)
         return keep_against_last(found, self.better) if self.better else found
 
 
+# --- where patterns can match: cheap tests before dear patterns -----------------------------------------------------------
+
+_NUMBERS = P.compiled(r"[0-9+(][0-9+()\s./-]{5,}")
+_ACCOUNTS = P.compiled(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9\s.-]{9,}")
+_FOUR_DIGITS = re.compile("[0-9]{4}")
+_SIX_CAPITALS = re.compile("[A-Z]{6}")
+_DOTTED = re.compile(r"[0-9.]{7,}")
+
+
+@lru_cache(8)
+def _numbers(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, digits) of the runs that telephone and card numbers are written in."""
+    return [(m.start(), m.end() + 1, len(C.digits_of(m[0]))) for m in _NUMBERS.finditer(text)]
+
+
+def _with_digits(least: int) -> Callable[[str, int], Parts]:
+    def where(text: str, patterns: int) -> Parts:
+        parts = [(a, b) for a, b, n in _numbers(text) if n >= least]
+        return [(k, a, b) for k in range(patterns) for a, b in parts] if parts else ()
+
+    return where
+
+
+def _runs(rx: re.Pattern) -> Callable[[str, int], Parts]:
+    def where(text: str, patterns: int) -> Parts:
+        parts = [(m.start(), m.end() + 1) for m in rx.finditer(text)]
+        return [(k, a, b) for k in range(patterns) for a, b in parts] if parts else ()
+
+    return where
+
+
+def _if(*tests: Callable[[str], object]) -> Callable[[str, int], Parts]:
+    """The whole text where the pattern's test holds."""
+    return lambda text, patterns: [(k, 0, len(text)) for k, test in enumerate(tests) if test(text)]
+
+
+def _addresses(text: str, patterns: int) -> Parts:
+    parts = [(0, m.start(), m.end() + 1) for m in _DOTTED.finditer(text)] if "." in text else []
+    if "::" in text or text.count(":") > 6:
+        parts += [(k, 0, len(text)) for k in range(1, patterns)]
+    return parts
+
+
+def _has(word: str) -> Callable[[str], bool]:
+    return lambda text: word in text
+
+
+def _case_words(*words: str) -> Callable[[str], bool]:
+    def there(text: str) -> bool:
+        small = text.lower()
+        return any(w in small for w in words)
+
+    return there
+
+
 def _of(*patterns: str, confidence: float, ignore_case: bool = False) -> tuple[tuple[re.Pattern, float], ...]:
     return tuple((P.compiled(p, ignore_case), confidence) for p in patterns)
 
 
-EMAIL = Recogniser("EMAIL", "Email Address", _of(P.EMAIL, confidence=0.98), C.email_valid, lambda t: t.strip().lower())
+EMAIL = Recogniser("EMAIL", "Email Address", _of(P.EMAIL, confidence=0.98), C.email_valid, lambda t: t.strip().lower(), where=_if(_has("@")))
 PHONE = Recogniser(
     "PHONE",
     "Phone Number",
@@ -71,9 +145,10 @@ PHONE = Recogniser(
     C.phone_valid,
     C.phone_normal,
     longer,
+    where=_with_digits(7),
 )
-IBAN = Recogniser("IBAN", "IBAN", _of(P.IBAN_SPACES, P.IBAN_SEPARATORS, confidence=0.99, ignore_case=True), C.iban_valid, C.iban_normal)
-BIC = Recogniser("BIC_SWIFT", "BIC/SWIFT Code", _of(P.BIC, confidence=0.95), C.bic_valid, lambda t: t.strip().upper())
+IBAN = Recogniser("IBAN", "IBAN", _of(P.IBAN_SPACES, P.IBAN_SEPARATORS, confidence=0.99, ignore_case=True), C.iban_valid, C.iban_normal, where=_runs(_ACCOUNTS))
+BIC = Recogniser("BIC_SWIFT", "BIC/SWIFT Code", _of(P.BIC, confidence=0.95), C.bic_valid, lambda t: t.strip().upper(), where=_if(_SIX_CAPITALS.search))
 CARD = Recogniser(
     "CREDIT_CARD",
     "Credit Card",
@@ -82,14 +157,16 @@ CARD = Recogniser(
     C.digits_of,
     lambda a, b: a.confidence > b.confidence or longer(a, b),
     C.card_like,
+    where=_with_digits(13),
 )
 IP = Recogniser(
     "IP_ADDRESS",
     "IP Address",
     (*_of(P.IPV4, confidence=0.9), *_of(*P.IPV6, confidence=0.855), *_of(P.IPV6_MAPPED, confidence=0.855, ignore_case=True)),
     lambda t: C.ipv4_valid(t) if ":" not in t else len(t) >= 3 and C.ipv6_valid(t),
+    where=_addresses,
 )
-URL = Recogniser("URL", "URL", _of(P.URL_SCHEME, P.URL_WWW, P.URL_MAILTO, confidence=0.92), C.url_valid, better=lambda a, b: a.end > b.end)
+URL = Recogniser("URL", "URL", _of(P.URL_SCHEME, P.URL_WWW, P.URL_MAILTO, confidence=0.92), C.url_valid, better=lambda a, b: a.end > b.end, where=_if(_has("://"), _has("www."), _has("mailto:")))
 
 #: Templates for identifiers of an organisation.
 COMMON_ID_PATTERNS = {
@@ -104,19 +181,14 @@ COMMON_ID_PATTERNS = {
 }
 
 
-def custom_ids(patterns: Sequence[IdPattern], name: str = "Custom ID") -> Recogniser:
-    """A recogniser of the given patterns; whatever they find, it stands under CASE_ID in the registry."""
-    checks = {i: p.validate for i, p in enumerate(patterns) if p.validate}
+def custom_ids(patterns: Sequence[IdPattern], name: str = "Custom ID", where: Callable[[str, int], Parts] = whole) -> Recogniser:
+    """A recogniser of the given patterns, each with its own check; whatever they find, it stands under CASE_ID in the registry."""
     compiled = tuple((P.compiled(p.pattern, p.ignore_case), 0.9) for p in patterns)
-
-    def ok(text: str) -> bool:
-        return all(check(text) for i, check in checks.items() if compiled[i][0].fullmatch(text))
-
-    return Recogniser("CASE_ID", name, compiled, ok, span_types=tuple(p.type for p in patterns))
+    return Recogniser("CASE_ID", name, compiled, span_types=tuple(p.type for p in patterns), checks=tuple(p.validate for p in patterns), where=where)
 
 
-CASE = custom_ids([COMMON_ID_PATTERNS["germanCaseId"], COMMON_ID_PATTERNS["genericCaseNumber"]], "Case ID")
-CUSTOMER = custom_ids([COMMON_ID_PATTERNS["customerNumber"]], "Customer ID")
+CASE = custom_ids([COMMON_ID_PATTERNS["germanCaseId"], COMMON_ID_PATTERNS["genericCaseNumber"]], "Case ID", _if(_FOUR_DIGITS.search, _case_words("case", "file", "ref", "ticket")))
+CUSTOMER = custom_ids([COMMON_ID_PATTERNS["customerNumber"]], "Customer ID", _if(lambda text: _FOUR_DIGITS.search(text) and _case_words("cust", "kd", "kunden")(text)))
 
 
 def regex_recogniser(type: str, name: str, patterns: Sequence[str], confidence: float = 0.95, validate: Callable[[str], bool] | None = None, ignore_case: bool = False) -> Recogniser:
@@ -171,6 +243,7 @@ def detect(text: Column, policy: Policy | None = None, registry: Registry | None
     """The matches of all recognisers in ``text``, unresolved; null for null, empty for the empty text."""
     policy, registry = policy or Policy(), registry or default_registry()
 
+    @once
     @F.arrow_udf(SPANS)
     def find(texts: pa.Array) -> pa.Array:
         rows = [None if t is None else [s.row() for s in registry.find_all(t, policy)] for t in texts.to_pylist()]

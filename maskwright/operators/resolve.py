@@ -8,14 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.patterns import SPACE
 from maskwright.policy import REGEX, TYPE_PRIORITY, Policy, Span
 
 REGEX_PRIORITY, LONGER_SPAN, HIGHER_CONFIDENCE, TYPE_FIRST = "REGEX_PRIORITY", "LONGER_SPAN", "HIGHER_CONFIDENCE", "TYPE_PRIORITY"
 
 
-def by_position(spans: Sequence[Span]) -> list[Span]:
-    """By start, the longer first; equal ones keep their order."""
-    return sorted(spans, key=lambda s: (s.start, s.start - s.end))
+_BLANKS = "".join(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x10000)))))
+
+
+def by_position(spans: Sequence[Span], descending: bool = False) -> list[Span]:
+    """By start, the longer first; equal ones keep their order. ``descending``: the last start first."""
+    return sorted(spans, key=lambda s: (-s.start if descending else s.start, s.start - s.end))
 
 
 def overlap(a: Span, b: Span) -> bool:
@@ -46,9 +50,23 @@ def remove_overlaps(spans: Sequence[Span], policy: Policy, strategy: str = REGEX
     return kept
 
 
+def allowed(text: str | None, policy: Policy) -> bool:
+    """Is the text on the allow list? Null is not."""
+    return bool(policy.allowlist) and text is not None and text.lower().strip(_BLANKS) in policy.allowlist
+
+
+def protected(spans: Sequence[Span]) -> list[tuple[int, int]]:
+    """The places that matches of patterns hold against a model's."""
+    return [(s.start, s.end) for s in spans]
+
+
+def in_protected(span: Span, places: Sequence[tuple[int, int]]) -> bool:
+    return any(span.start < b and a < span.end for a, b in places)
+
+
 def resolve(regex: Sequence[Span], ner: Sequence[Span], text: str, policy: Policy, strategy: str = REGEX_PRIORITY, regex_first: bool = True) -> list[Span]:
     """The spans that are replaced: filtered by policy and allow list, without overlaps, with what the deny list adds."""
-    usable = [s for s in (*regex, *ner) if s.type in policy.enabled and s.confidence >= policy.thresholds.get(s.type, 0.5) and s.text.lower().strip() not in policy.allowlist]
+    usable = [s for s in (*regex, *ner) if s.type in policy.enabled and s.confidence >= policy.thresholds.get(s.type, 0.5) and not allowed(s.text, policy)]
     kept = remove_overlaps(usable, policy, strategy, regex_first)
     forced = [
         Span("EMAIL", m.start(), m.end(), 1.0, REGEX, m[0])
@@ -63,8 +81,8 @@ def resolve(regex: Sequence[Span], ner: Sequence[Span], text: str, policy: Polic
 # --- the same on arrays of structs, in the JVM --------------------------------------------------------------------------
 
 
-def sort_spans(spans: Column) -> Column:
-    ranked = F.transform(spans, lambda s, i: F.struct(s.start.alias("a"), (s.start - s.end).alias("b"), i.alias("i"), s.alias("s")))
+def sort_spans(spans: Column, descending: bool = False) -> Column:
+    ranked = F.transform(spans, lambda s, i: F.struct((-s.start if descending else s.start).alias("a"), (s.start - s.end).alias("b"), i.alias("i"), s.alias("s")))
     return F.transform(F.array_sort(ranked), lambda r: r.s)
 
 
@@ -76,7 +94,13 @@ def filter_policy(spans: Column, policy: Policy) -> Column:
 def apply_allowlist(spans: Column, policy: Policy) -> Column:
     if not policy.allowlist:
         return spans
-    return F.filter(spans, lambda s: ~F.lower(F.trim(s.text)).isin(*sorted(policy.allowlist)))
+    plain = lambda s: F.regexp_replace(F.lower(s.text), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.filter(spans, lambda s: ~F.coalesce(plain(s).isin(*sorted(policy.allowlist)), F.lit(False)))
+
+
+def outside_protected(spans: Column, places: Column) -> Column:
+    """The spans that overlap none of the given ones."""
+    return F.filter(spans, lambda s: ~F.exists(places, lambda p: (s.start < p.end) & (p.start < s.end)))
 
 
 def rank_column(kind: Column, priority: Sequence[str] = TYPE_PRIORITY) -> Column:

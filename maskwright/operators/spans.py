@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskwright.operators.resolve import sort_spans
+from maskwright.runtime import once
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -75,6 +76,7 @@ def prenormalise(text: Column, line_ends: bool = True, trim: bool = False) -> Co
     return F.regexp_replace(out, f"^[{SPACE}]+|[{SPACE}]+$", "") if trim else out
 
 
+@once
 @F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     """Compatibility forms of Unicode; null for null."""
@@ -86,6 +88,23 @@ def to_normalised_offset(text: Column, offset: Column) -> Column:
     return offset - F.regexp_count(F.substring(text, 1, offset + 1), F.lit("\r\n"))
 
 
+def to_original_offset(text: Column, offset: Column) -> Column:
+    """About where ``offset`` of the text with LF line ends lies in ``text`` with CRLF ones; null for null.
+
+    A greedy walk over the line ends, as the contract has it: it counts a line end as long as the place reached so far and the
+    line end's place, less those counted, do not go beyond the offset.
+    """
+    sizes = F.transform(F.split(text, "\r\n"), F.length)
+    ends = F.transform(F.slice(sizes, 1, F.size(sizes) - 1), lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, b: a + b) + 2 * i)
+    state = F.struct(F.lit(0).alias("counted"), F.lit(0).alias("at"), F.lit(True).alias("going"))
+
+    def step(s: Column, end: Column) -> Column:
+        go = s.going & (s.at + end - s.counted <= offset)
+        return F.struct((s.counted + go.cast("int")).alias("counted"), F.when(go, end - s.counted).otherwise(s.at).alias("at"), go.alias("going"))
+
+    return offset + F.aggregate(ends, state, step, lambda s: s.counted)
+
+
 def utf16_offset(text: Column, offset: Column) -> Column:
     """A position in code points as one in UTF-16 units."""
     return offset + F.regexp_count(F.substring(text, 1, offset), F.lit("[\\x{10000}-\\x{10FFFF}]"))

@@ -14,6 +14,7 @@ from maskwright.functions.patterns import SPACE
 from maskwright.operators.recognise import ARROW_SPANS
 from maskwright.operators.resolve import by_position
 from maskwright.policy import ALL_TYPES, ENTITIES, Policy, Span
+from maskwright.runtime import once
 
 # Quotation marks and blanks that translators put into tags.
 _QUOTE = "[\"'`«»‘’‚“”„]"
@@ -74,14 +75,29 @@ def number_spans(spans: Sequence[Span], policy: Policy, known: Mapping[str, str]
 def tag_text(text: str, spans: Sequence[Span], policy: Policy, known: Mapping[str, str] | None = None) -> tuple[str, list[tuple[Span, int]], dict[str, str]]:
     """The text with tags, its numbered spans and the map from keys to originals."""
     numbered = number_spans(spans, policy, known)
+    return replaced(text, numbered), numbered, {map_key(s.type, n): s.text for s, n in numbered}
+
+
+def replaced(text: str, numbered: Sequence[tuple[Span, int]]) -> str:
+    """The text with a tag in place of each numbered span."""
     for span, number in sorted(numbered, key=lambda x: -x[0].start):
         text = text[: span.start] + make_tag(span.type, number, span.gender, span.scope) + text[span.end :]
-    return text, numbered, {map_key(s.type, n): s.text for s, n in numbered}
+    return text
+
+
+@once
+@F.arrow_udf(T.StringType())
+def replace_numbered(texts: pa.Array, entities: pa.Array) -> pa.Array:
+    """Texts with tags in place of entities (structs of a span and its id); null for null."""
+    rows = zip(texts.to_pylist(), entities.to_pylist(), strict=True)
+    return pa.array([t if t is None or not found else replaced(t, [(Span.of(e), e["id"]) for e in found]) for t, found in rows], pa.string())
 
 
 def find_tags(text: str, strict: bool = False) -> list[tuple[int, str, str, int, str | None, str | None]]:
     """(position, matched text, type, id, gender, scope) of the tags, also of mangled ones unless ``strict``."""
     found: dict[int, tuple] = {}
+    if "<" not in text and "&lt;" not in text:
+        return []
     for rx in (STRICT,) if strict else (TYPE_FIRST, ID_FIRST):
         for m in rx.finditer(text):
             number, kind, gender, scope = (m[1], m[2], None, None) if rx is ID_FIRST else (m[4], m[1], m[2], m[3])
@@ -120,6 +136,7 @@ def tag_column(kind: Column, number: Column, gender: Column | None = None, scope
 def tag_spans(text: Column, spans: Column, policy: Policy, known: Column | None = None) -> Column:
     """Struct of the tagged text, its entities and originals; null for null."""
 
+    @once
     @F.arrow_udf(TAGGED)
     def tag(texts: pa.Array, found: pa.Array, maps: pa.Array) -> pa.Array:
         out = []
@@ -135,6 +152,7 @@ def tag_spans(text: Column, spans: Column, policy: Policy, known: Column | None
 
 
 def tags_of(text: Column, strict: bool = False) -> Column:
+    @once
     @F.arrow_udf(TAGS)
     def tags(texts: pa.Array) -> pa.Array:
         names = ("position", "matched", "type", "id", "gender", "scope")
@@ -144,6 +162,7 @@ def tags_of(text: Column, strict: bool = False) -> Column:
 
 
 def rehydrate(text: Column, originals: Column, strict: bool = False) -> Column:
+    @once
     @F.arrow_udf(T.StringType())
     def back(texts: pa.Array, maps: pa.Array) -> pa.Array:
         return pa.array([None if t is None else rehydrate_text(t, dict(m or ()), strict) for t, m in zip(texts.to_pylist(), maps.to_pylist(), strict=True)], pa.string())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.patterns import SPACE
 from maskwright.policy import HYBRID, Span
 
-# Titles by language; pass others as a parameter.
+# Titles by language.
 TITLES = {
     "en": "Mr|Mr.|Mister|Mrs|Mrs.|Missus|Ms|Ms.|Miss|Mx|Mx.|Dr|Dr.|Doctor|Prof|Prof.|Professor|Rev|Rev.|Reverend|Fr|Fr.|Father|Sr|Sr.|Sister|Br|Br.|Brother|Capt|Capt.|Captain|Col|Col.|Colonel|Gen|Gen.|General|Lt|Lt.|Lieutenant|Sgt|Sgt.|Sergeant|Maj|Maj.|Major|Cpl|Cpl.|Corporal|Pvt|Pvt.|Private|Adm|Adm.|Admiral|Cmdr|Cmdr.|Commander|Sir|Dame|Lord|Lady|Hon|Hon.|Honorable|The Honorable|Rt Hon|Rt. Hon.|Right Honorable|The Right Honorable|Esq|Esq.|Esquire|Atty|Atty.|Attorney|Judge|Justice",
     "de": "Herr|Frau|Fräulein|Dr|Dr.|Doktor|Prof|Prof.|Professor|Mag|Mag.|Magister|Dipl|Dipl.|Diplom|Dipl.-Ing|Dipl.-Ing.|Diplomingenieur|Ing|Ing.|Ingenieur|Dr. med|Dr. med.|Dr. jur|Dr. jur.|Dr. phil|Dr. phil.|Dr. rer. nat|Dr. rer. nat.|Dr. h.c|Dr. h.c.|Prof. Dr|Prof. Dr.|Gen|Gen.|General|Oberst|Major|Hauptmann|Pfarrer|Pastor|Bischof",
@@ -45,6 +45,10 @@ def extract_title(name: str) -> tuple[str | None, str, int]:
     return (m[0].strip(), name[m.end() :], m.end()) if m else (None, name, 0)
 
 
+def starts_with_title(text: str) -> bool:
+    return extract_title(text)[0] is not None
+
+
 def only_title(text: str) -> bool:
     return bool(_ONLY.fullmatch(text))
 

@@ -59,6 +59,15 @@ def once(function: Callable) -> Callable:
     return function.asNondeterministic()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is so small that reading it would not give each of them a part; larger inputs are not shuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df.repartition(cores) if size < cores * least else df
+
+
 _written: dict[str, SparkSession] = {}
 
 

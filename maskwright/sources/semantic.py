@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,34 @@ COUNTRY_VARIANTS = {
 }
 
 
+# The files of the lists; the last may be missing.
+FILES = {"names": "nam_dict.txt", "cities": "cities15000.txt", "countries": "countryInfo.txt", "regions": "admin1CodesASCII.txt"}
+OPTIONAL = frozenset(["regions"])
+
+
+def normal_gender(mark: Column) -> Column:
+    """male, female or neutral for the marks of the name list and for these words; null for others."""
+    words = GENDER_MARKS | {w.upper(): w for w in GENDER_MARKS.values()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.upper(F.trim(mark)))
+
+
+def present(spark: SparkSession, folder: str) -> dict[str, bool]:
+    """Which of the lists' files the folder has."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    files = where(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    return {name: files.exists(where(posixpath.join(folder, file))) for name, file in FILES.items()}
+
+
+def read_lists(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of all lists in a folder; an error names the files that are missing."""
+    there = present(spark, folder)
+    missing = [FILES[name] for name in FILES if not there[name] and name not in OPTIONAL]
+    if missing:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+    readers = {"names": read_names, "cities": read_cities, "countries": read_countries, "regions": read_regions}
+    return {name: readers[name](spark, posixpath.join(folder, file)) for name, file in FILES.items() if there[name]}
+
+
 def _numbered(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(n, line) of a text file that is read whole, as reference lists are; n counts from 0."""
     text = spark.read.option("encoding", encoding).text(path, wholetext=True)
@@ -51,12 +81,12 @@ def _column(at: int) -> Column:
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    """(name, country, population): each name, ASCII form and alternate name; of one name the most populous entry."""
-    rows = spark.read.text(path).select(F.col("value").alias("line")).where(F.size(F.split("line", "\t")) >= 15)
+    """(name, country, population): each name, ASCII form and alternate name; of one name the most populous entry, the first of equal ones."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), (-F.monotonically_increasing_id()).alias("n")).where(F.size(F.split("line", "\t")) >= 15)
     others = F.filter(F.transform(F.split(_column(CITY_OTHERS), ","), lambda x: F.trim(x)), lambda x: F.length(x) > 2)
     names = F.array_distinct(F.filter(F.concat(F.array(_column(CITY_NAME), _column(CITY_ASCII)), others), lambda x: x != ""))
-    flat = rows.select(F.explode(names).alias("name"), _column(CITY_COUNTRY).alias("country"), F.coalesce(F.expr(f"try_cast(get(split(line, '\\t'), {CITY_POPULATION}) AS BIGINT)"), F.lit(0)).alias("population"))
-    return flat.groupBy(F.lower("name").alias("name")).agg(F.max_by("country", F.struct("population", "country")).alias("country"), F.max("population").alias("population"))
+    flat = rows.select("n", F.explode(names).alias("name"), _column(CITY_COUNTRY).alias("country"), F.coalesce(F.expr(f"try_cast(get(split(line, '\\t'), {CITY_POPULATION}) AS BIGINT)"), F.lit(0)).alias("population"))
+    return flat.groupBy(F.lower("name").alias("name")).agg(F.max_by("country", F.struct("population", "n")).alias("country"), F.max("population").alias("population"))
 
 
 def country_names(name: Column, code: Column) -> Column:

@@ -7,10 +7,13 @@ write leaves the old one. Times are milliseconds since 1970 and passed in.
 from __future__ import annotations
 
 import posixpath
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.runtime import cut, discard
+
 SCHEMA = "conversation_id string, ciphertext string, iv string, auth_tag string, entity_counts map<string,bigint>, model_version string, created_at bigint, updated_at bigint"
 
 
@@ -46,8 +49,23 @@ def without_older(store: DataFrame, older_than: int) -> DataFrame:
     return store.where((F.col("created_at") >= older_than) | F.col("created_at").isNull())
 
 
+class Store(Protocol):
+    """What a store of encrypted maps offers; ``rows`` have the columns of ``SCHEMA`` but for updated_at."""
+
+    def read(self) -> DataFrame: ...
+    def save(self, rows: DataFrame, now: int) -> None: ...
+    def load(self, conversation: str) -> DataFrame: ...
+    def exists(self, conversation: str) -> bool: ...
+    def delete(self, conversation: str) -> bool: ...
+    def list(self, limit: int | None = None, older_than: int | None = None) -> DataFrame: ...
+    def cleanup(self, older_than: int) -> int: ...
+
+
 class MapStore:
-    """A store in a folder that all executors reach."""
+    """A store in a folder that all executors reach, for one writer at a time.
+
+    A snapshot lives until two newer ones are written, so that a reader that holds it can end.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -68,12 +86,20 @@ class MapStore:
 
     def _write(self, rows: DataFrame) -> None:
         version = self._version()
-        rows.write.mode("overwrite").parquet(posixpath.join(self.path, f"v{version + 1}"))
-        if version > 1:  # the snapshot before the last has no readers any more
+        if self._fs.exists(self._path(f"v{version + 1}")):
+            raise RuntimeError(f"{self.path} is being written, or a writer failed: remove v{version + 1} if none is at work")
+        rows.write.mode("errorifexists").parquet(posixpath.join(self.path, f"v{version + 1}"))
+        if version > 1:
             self._fs.delete(self._path(f"v{version - 1}"), True)
 
     def save(self, rows: DataFrame, now: int) -> None:
+        """Rows put in; of several rows for a conversation none is taken for the right one: an error."""
+        rows = cut(rows)
+        twice = rows.groupBy("conversation_id").count().where("count > 1 OR conversation_id IS NULL").select("conversation_id").first()
+        if twice:
+            raise ValueError(f"no row or several rows for the conversation {twice[0]}")
         self._write(upsert(self.read(), rows, now))
+        discard(rows)
 
     def load(self, conversation: str) -> DataFrame:
         return self.read().where(F.col("conversation_id") == conversation)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright.operators.recognise import default_registry
 from maskwright.operators.resolve import resolve
+from maskwright.operators.spans import prenormalise
 from maskwright.operators.tag import map_key, tag_text
 from maskwright.policy import Policy
 
@@ -43,7 +44,7 @@ def anonymise_sessions(stream: DataFrame, policy: Policy | None = None, idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conversation_id", "turn", "text", "entity_count"])
 
-    kept = stream.select("conversation_id", F.col("turn").cast("int").alias("turn"), "text").where("conversation_id IS NOT NULL AND turn IS NOT NULL")
+    kept = stream.select("conversation_id", F.col("turn").cast("int").alias("turn"), prenormalise(F.col("text")).alias("text")).where("conversation_id IS NOT NULL AND turn IS NOT NULL")
     return kept.groupBy("conversation_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
