@@ -106,24 +106,16 @@ def piece_spans(text: Column, limit: Column, overlap: Column) -> Column:
     return F.when(text.isNull(), None).otherwise(F.coalesce(cut, whole))
 
 
-def limits_of(config: DataFrame, key: str, limit: str, overlap: str, default: str, most: int = 10_000) -> tuple[Column, Column]:
-    """Limit and overlap as columns, looked up in a configuration table of at most ``most`` rows by a column named ``key``.
+def with_limits(df: DataFrame, config: DataFrame, key: str, limit: str, overlap: str, default: str) -> DataFrame:
+    """``df`` with ``piece_limit`` and ``piece_overlap``, joined from a configuration table by the column ``key`` that both have.
 
     Keys that are null or not listed have the default row's values; of several rows for a key, or several default rows, the smallest limit counts.
     """
-    rows = config.select(key, limit, overlap, default).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the configuration has more than {most} rows")
-    rows.sort(key=lambda r: (r[1] is None, r[1] or 0, r[2] or 0), reverse=True)
-    by_key = {r[0]: (r[1], r[2]) for r in rows if r[0] is not None}
-    standard = next(((r[1], r[2]) for r in reversed(rows) if r[3]), (None, None))
-
-    def lookup(i: int) -> Column:
-        entries = [F.lit(x) for k, v in by_key.items() for x in (k, v[i])]
-        found = F.coalesce(F.try_element_at(F.create_map(*entries), F.col(key)), F.lit(standard[i])) if entries else F.lit(standard[i])
-        return found.cast("int")
-
-    return lookup(0), lookup(1)
+    first = F.min(F.struct(F.col(limit).isNull(), F.col(limit).cast("int").alias("n"), F.col(overlap).cast("int").alias("o")))
+    listed = config.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(first.alias("_own"))
+    standard = config.where(F.col(default)).agg(first.alias("_standard"))  # one row
+    joined = df.join(listed, df[key] == F.col("_key"), "left").join(F.broadcast(standard), F.lit(True), "left")
+    return joined.select(*[df[c] for c in df.columns], F.coalesce("_own.n", "_standard.n").alias("piece_limit"), F.coalesce("_own.o", "_standard.o").alias("piece_overlap"))
 
 
 def split_oversized(df: DataFrame, text: str, limit: Column, overlap: Column, keep: list[str]) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskwright.llm import canonlist, disclosure, encode, language, lookalike, mixing, mojibake, pieces, variants
-from maskwright.runtime import cut, table
+from maskwright.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, results, entities = (table(spark, sf_dir, n) for n in ("session_turn", "tagging_result", "detected_entity"))
-    terms = cut(disclosure.disclosure_table(entities, results.select("anonymized_text")))
+    terms = disclosure.disclosure_table(entities, results.select("anonymized_text"))
     texts = turns.select(F.lit("session_turn").alias("source_table"), F.col("turn_id").alias("row_id"), "text")
     texts = texts.unionAll(results.select(F.lit("tagging_result"), "result_id", "anonymized_text"))
     return disclosure.find_personal(spark, texts, terms)
@@ -73,18 +74,30 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).drop("known_label", "n_segments")
 
 
-def _turn_limits(spark: SparkSession, sf_dir: str):
-    return pieces.limits_of(table(spark, sf_dir, "ner_model_config"), "model_version", "max_length", "piece_overlap", "is_default")
+def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "session_turn").select("turn_id", "model_version", "text")
+    return pieces.with_limits(turns, table(spark, sf_dir, "ner_model_config"), "model_version", "max_length", "piece_overlap", "is_default")
+
+
+LIMITS = F.col("piece_limit"), F.col("piece_overlap")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "session_turn")
-    spans = turns.select("turn_id", F.size(pieces.piece_spans(F.col("text"), *_turn_limits(spark, sf_dir))).alias("n"))
+    spans = _limited(spark, sf_dir).select("turn_id", F.size(pieces.piece_spans(F.col("text"), *LIMITS)).alias("n"))
     return spans.where("n > 1").select("turn_id")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.split_oversized(table(spark, sf_dir, "session_turn"), "text", *_turn_limits(spark, sf_dir), keep=["turn_id"])
+    return pieces.split_oversized(_limited(spark, sf_dir), "text", *LIMITS, keep=["turn_id"])
+
+
+def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each message: characters that its pieces cover, whether all are within the limit, and whether neighbours share the overlap."""
+    spans = _limited(spark, sf_dir).where("text IS NOT NULL").withColumn("spans", pieces.piece_spans(F.col("text"), *LIMITS))
+    ends = F.transform("spans", lambda s: s.end)
+    begins = lambda s, i: (i == 0) & (s.start == 0) | (s.start == F.greatest(F.lit(0), F.get(ends, i - 1) - F.col("piece_overlap")))
+    chained = F.forall(F.transform("spans", begins), lambda ok: ok)
+    return spans.select("turn_id", F.array_max(ends).alias("n_chars"), F.forall("spans", lambda s: s.end - s.start <= F.col("piece_limit")).alias("within"), chained.alias("chained"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +126,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the share of each source within 3 % of its target among the sources that have documents, and no document used too often?"""
+    there = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))  # one row a source
+    off = F.abs(F.col("actual_share") * there / F.col("target_share") - 1)
+    return p8_shares(spark, sf_dir).select("source", ((F.col("tokens") == 0) | (off < 0.03)).alias("reached"), (F.col("most_copies") <= F.col("max_repeat")).alias("allowed"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
@@ -130,11 +150,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_segments": p4_segments,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_cover": p5_cover,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_reached": p8_reached,
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
@@ -145,5 +167,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM session_turn t LEFT JOIN ner_model_config m ON t.model_version = m.model_version
         WHERE length(t.text) > coalesce(m.max_length, (SELECT max_length FROM ner_model_config WHERE is_default))
     """,
+    "p5_cover": "SELECT turn_id, CAST(length(text) AS INTEGER) AS n_chars, true AS within, true AS chained FROM session_turn WHERE text IS NOT NULL",
+    "p8_reached": "SELECT source, true AS reached, true AS allowed FROM source_target",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
