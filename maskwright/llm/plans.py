@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,21 +79,22 @@ def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.with_limits(turns, table(spark, sf_dir, "ner_model_config"), "model_version", "max_length", "piece_overlap", "is_default")
 
 
-LIMITS = F.col("piece_limit"), F.col("piece_overlap")
+def _spans() -> Column:
+    return pieces.piece_spans(F.col("text"), F.col("piece_limit"), F.col("piece_overlap"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _limited(spark, sf_dir).select("turn_id", F.size(pieces.piece_spans(F.col("text"), *LIMITS)).alias("n"))
+    spans = _limited(spark, sf_dir).select("turn_id", F.size(_spans()).alias("n"))
     return spans.where("n > 1").select("turn_id")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.split_oversized(_limited(spark, sf_dir), "text", *LIMITS, keep=["turn_id"])
+    return pieces.split_oversized(_limited(spark, sf_dir), "text", F.col("piece_limit"), F.col("piece_overlap"), keep=["turn_id"])
 
 
 def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each message: characters that its pieces cover, whether all are within the limit, and whether neighbours share the overlap."""
-    spans = _limited(spark, sf_dir).where("text IS NOT NULL").withColumn("spans", pieces.piece_spans(F.col("text"), *LIMITS))
+    spans = _limited(spark, sf_dir).where("text IS NOT NULL").withColumn("spans", _spans())
     ends = F.transform("spans", lambda s: s.end)
     begins = lambda s, i: (i == 0) & (s.start == 0) | (s.start == F.greatest(F.lit(0), F.get(ends, i - 1) - F.col("piece_overlap")))
     chained = F.forall(F.transform("spans", begins), lambda ok: ok)
