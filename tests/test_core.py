@@ -1,18 +1,26 @@
 """The core operators on small cases."""
 
+import base64
+import os
 import random
+import re
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks as C
-from maskwright.operators import crypto, ner, session, spans, tag, titles, validate
-from maskwright.operators.recognise import CARD, COMMON_ID_PATTERNS, EMAIL, IBAN, IP, PHONE, URL, Registry, custom_ids, default_registry, detect
-from maskwright.operators.resolve import LONGER_SPAN, remove_overlaps, remove_overlaps_column, resolve
+from maskwright.operators import crypto, ner, semantic, session, spans, tag, titles, validate
+from maskwright.operators.recognise import CARD, COMMON_ID_PATTERNS, EMAIL, IBAN, IP, PHONE, URL, Registry, custom_ids, default_registry, detect, find_table, whole
+from maskwright.operators.resolve import LONGER_SPAN, allowed, apply_allowlist, by_position, in_protected, protected, remove_overlaps, remove_overlaps_column, resolve
+from maskwright.operators.semantic import Lists
 from maskwright.plans.engine import Engine
-from maskwright.policy import NER, REGEX, SPAN, Policy, Span, label_type
+from maskwright.policy import NER, REGEX, SPAN, IdPattern, Policy, Span, label_type
+from maskwright.runtime import once
 from maskwright.sources import semantic as sources
 from maskwright.sources import store
 
@@ -227,7 +235,7 @@ def test_conversation_stream(spark, tmp_path):
     from maskwright.streaming.sessions import anonymise_sessions
 
     schema = "conversation_id string, turn int, text string"
-    spark.createDataFrame([("c", 2, "again a@b.example.com"), ("c", 1, "a@b.example.com and x@y.example.com"), ("d", 1, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("c", 2, "again\r\na@b.example.com"), ("c", 1, "a@b.example.com and x@y.example.com"), ("d", 1, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     query = anonymise_sessions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     try:
@@ -235,7 +243,7 @@ def test_conversation_stream(spark, tmp_path):
     finally:
         query.stop()
     rows = {(r.conversation_id, r.turn): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert rows["c", 2].text == 'again <PII type="EMAIL" id="1"/>' and rows["c", 1].entity_count == 2 and rows["d", 1].text is None
+    assert rows["c", 2].text == 'again\n<PII type="EMAIL" id="1"/>' and rows["c", 1].entity_count == 2 and rows["d", 1].text is None
 
 
 @pytest.mark.parametrize("language, count, some", [
@@ -266,3 +274,202 @@ def test_country_variants(spark, tmp_path):
     spark.createDataFrame([(i, "LOCATION", p) for i, p in enumerate(places)], "entity_key long, pii_type string, original string").write.parquet(f"{tmp_path}/detected_entity.parquet")
     got = {r.entity_key: r.scope for r in location_scope(spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(places))] == ["country"] * 8 + ["city", "unknown"]
+
+
+def test_custom_ids_check_their_own_matches():
+    ids = [IdPattern("a", "X[0-9]+"), IdPattern("b", "X1[0-9]*", validate=lambda t: False)]
+    assert found(custom_ids(ids), "X12") == ["X12"] and found(custom_ids(ids[1:]), "X12") == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["+49", "00", "0", "12", "345", "6789", "4111", " ", "-", ".", "(", ")", "/", "DE89", "a", "::", "1.2", ":", "ffff", "AB", "ref", "CASE", "x@y.de", "\n", "www.", "http://a.b", "mailto:"]), max_size=20).map("".join))
+def test_cheap_tests_drop_no_match(text):
+    """Each recogniser finds what it finds with all patterns over the whole text."""
+    for r in default_registry().all():
+        assert r.find(text) == replace(r, where=whole).find(text), r.name
+
+
+def test_allow_list_keeps_spans_without_text(spark):
+    policy = Policy(allowlist=frozenset(["hq"]))
+    rows = spark.createDataFrame([(t,) for t in (" HQ ", None, "hq2")], "text string").select("text", F.size(apply_allowlist(F.array(F.struct("text")), policy)).alias("n")).collect()
+    assert {r.text: r.n for r in rows} == {" HQ ": 0, None: 1, "hq2": 1}
+    assert allowed(" HQ ", policy) and not allowed(None, policy)
+
+
+def test_order_protected_and_titles():
+    spans_ = [Span("ORG", 10, 20, 0.9, NER, "x"), Span("ORG", 50, 55, 0.9, NER, "y"), Span("ORG", 10, 30, 0.9, NER, "z")]
+    assert [s.text for s in by_position(spans_)] == ["z", "x", "y"] and [s.text for s in by_position(spans_, True)] == ["y", "z", "x"]
+    places = protected([Span("EMAIL", 15, 18, 1, REGEX, "e")])
+    assert [in_protected(s, places) for s in spans_] == [True, False, True]
+    assert titles.starts_with_title("Mister Smith") and not titles.starts_with_title("Smith")
+
+
+def test_keys_stay_out_of_plans(spark):
+    key = bytes(range(7, 39))
+    df = spark.createDataFrame([({"EMAIL_1": "a"},)], "m map<string,string>")
+    out = df.select(crypto.encrypt_map(F.col("m"), key).alias("s")).select(crypto.decrypt_map(F.col("s"), crypto.MemoryKey(key)).alias("m"))
+    plan = out._jdf.queryExecution().toString() + spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")
+    for text in (key.hex(), base64.b64encode(key).decode(), str(list(key)), ", ".join(map(str, key))):
+        assert text.lower() not in plan.lower()
+    assert out.first().m == {"EMAIL_1": "a"}
+    with pytest.raises(ValueError):
+        crypto.key_column(b"short")
+
+
+LISTS = Lists({"anna": "female", "andrea": "female", ("andrea", "it"): "male"}, {"berlin": ("DE", 3_000_000), "georgia": ("US", 5)}, {"france": "FR", "usa": "US"}, {"georgia": "US", "bavaria": "DE"})
+
+
+def test_lists_equal_the_joins(spark):
+    names = spark.createDataFrame([("Anna", "female", 1), ("anna", "male", 2), ("Andrea", None, 0), ("andrea", "female", 3)], "name string, gender string, n int")
+    people = ["Anna X", "Dr. Anna X", "ANDREA", "Nobody", "", "  ", None]
+    got = {r.name: r.gender for r in semantic.infer_gender(spark.createDataFrame([(p,) for p in people], "name string"), "name", names, order="n").collect()}
+    assert got == {p: LISTS.gender(p) if p is not None else "unknown" for p in people}
+    assert LISTS.gender("Andrea Bianchi", "it-IT") == "male" and LISTS.has_name("Dr Anna") and not LISTS.has_name("x")
+
+    countries = spark.createDataFrame([("France", "FR"), ("USA", "US")], "name string, code string")
+    cities = spark.createDataFrame([("Berlin", "DE", 3_000_000), ("Georgia", "US", 5)], "name string, country string, population long")
+    regions = spark.createDataFrame([("Georgia", "US"), ("Bavaria", "DE")], "name string, country string")
+    places = ["Berlin", "berlin  city", "the USA", "La France", "Bävaria", "Georgia", "Atlantis", "", None, "Berlin"]
+    rows = semantic.classify_place(spark.createDataFrame([(p,) for p in places], "place string"), "place", countries, cities, regions).collect()
+    assert len(rows) == len(places)
+    assert {r.place: (r.scope, r.scope_country, r.scope_confidence) for r in rows if r.place is not None} == {p: LISTS.scope(p) for p in places if p is not None}
+    assert Lists.read(names.select("name", "gender"), cities, countries, regions).sizes() == {"names": 2, "cities": 2, "countries": 2, "regions": 2} and LISTS.has_place("Berlin") and not LISTS.has_place("x")
+    with pytest.raises(ValueError):
+        Lists.read(cities=cities, most=1)
+
+
+def test_list_files(spark, tmp_path):
+    assert sources.present(spark, str(tmp_path)) == {"names": False, "cities": False, "countries": False, "regions": False}
+    with pytest.raises(FileNotFoundError, match="nam_dict.txt, cities15000.txt"):
+        sources.read_lists(spark, str(tmp_path))
+    (tmp_path / "nam_dict.txt").write_bytes(b"M  Jon\n")
+    line = lambda country: "\t".join(["1", "Cologne", "Cologne", "", "", "", "", "", country, "", "", "", "", "", "5"]) + "\n"
+    (tmp_path / "cities15000.txt").write_text(line("DE") + line("US"))
+    (tmp_path / "countryInfo.txt").write_text("FR\t\t\t\tFrance\t\n")
+    tables = sources.read_lists(spark, str(tmp_path))
+    assert set(tables) == {"names", "cities", "countries"} and tables["cities"].first().country == "DE"
+    assert Lists.read(**tables).scope("France") == ("country", "FR", 1.0)
+
+
+def test_engine_with_gender_scope_and_checks(spark):
+    class Everywhere:
+        """A model that takes every capitalised word for a person, and every word in capitals for a place."""
+
+        version = "test-1"
+
+        def predict_all(self, texts, policy):
+            return [[Span("LOCATION" if m[0].isupper() else "PERSON", m.start(), m.end(), 0.9, NER, m[0]) for m in re.finditer(r"\b[A-Z]\w+(?: [A-Z][a-z]+)?", t)] for t in texts]
+
+    engine = Engine(Policy(semantic=True), model=Everywhere(), lists=LISTS, policy_version="7")
+    rows = spark.createDataFrame([(1, "Anna met", "en"), (2, "Andrea met", "it"), (3, "seen BERLIN", None), (4, None, "en"), (5, "Xyz met", "")], "id int, text string, lang string")
+    got = {r.id: r for r in engine.anonymise(rows, "text", locale="lang").collect()}
+    assert got[1].anonymized_text == '<PII type="PERSON" gender="female" id="1"/> met' and 'gender="male"' in got[2].anonymized_text
+    assert got[3].anonymized_text == 'seen <PII type="LOCATION" scope="city" id="1"/>' and got[5].anonymized_text == '<PII type="PERSON" id="1"/> met'
+    assert got[1].errors == [] and got[4].errors is None and (got[1].model_version, got[1].policy_version) == ("test-1", "7")
+    leaky = Engine(Policy(regex_enabled=frozenset())).anonymise(spark.createDataFrame([("a@b.example",)], "text string"), "text").first()
+    assert not leaky.leak_scan_passed and [e.code for e in leaky.errors] == [validate.LEAK_DETECTED]
+
+
+def test_leaks_leave_out_the_inside_of_tags():
+    assert [m for _, m, _ in validate.leaks("x a@b.example <PII type='EMAIL' y c@d.example >", Policy())] == ["a@b.example"]
+
+
+def test_sessions(spark, tmp_path):
+    key = crypto.MemoryKey(b"k" * 32)
+    engine = Engine(store=store.MapStore(spark, str(tmp_path / "maps")), key=key)
+    sessions = engine.sessions()
+    messages = [("c", 1, 1, "first@x.example"), ("c", 2, 2, "first@x.example and second@x.example"), ("d", 1, 3, None), (None, 1, 4, "a@x.example"), ("c", 2, 5, "third@x.example\r\nfirst@x.example")]
+    schema = "session string, turn int, conversation_id int, text string"  # a column named as the store's own
+    whole = spark.createDataFrame(messages, schema)
+    run = lambda of, df: {r.conversation_id: r for r in of.anonymise(df, "session", "turn", "conversation_id", "text", now=5).collect()}
+    first = run(sessions, whole.where("turn = 1"))
+    second = run(sessions, whole.where("turn = 2"))
+    ids = lambda r: [e.id for e in r.entities]
+    assert ids(first[1]) == [1] and ids(second[2]) == [1, 2] and ids(second[5]) == [3, 1] and first[3].anonymized_text is None and 4 not in first
+    other = Engine(store=store.MapStore(spark, str(tmp_path / "other")), key=key).sessions()
+    assert {k: r.anonymized_text for k, r in run(other, whole).items()} == {k: r.anonymized_text for k, r in (first | second).items()}
+    stored = {r.conversation_id: r for r in engine.store.read().collect()}
+    assert stored["c"].entity_counts == {"EMAIL": 5} and set(stored) == {"c", "d"} and stored["c"].created_at == 5
+
+    one = engine.session("c")
+    back = one.rehydrate(spark.createDataFrame([(1, 'to <PII id="3" type="EMAIL"/>, <pii type=\'EMAIL\' id="2"/> <PII type="EMAIL" id="9"/>')], "k int, t string"), "k", "t").first()
+    assert back.restored == 'to third@x.example, second@x.example <PII type="EMAIL" id="9"/>'
+    assert one.anonymise(spark.createDataFrame([(3, 8, "second@x.example")], "turn int, k int, text string"), "turn", "k", "text").first().entities[0].id == 2
+    assert one.exists() and one.load().count() == 1 and not engine.session("nobody").exists()
+    with pytest.raises(ValueError, match="does not open"):
+        Engine(store=engine.store, key=crypto.MemoryKey(b"w" * 32)).session("c").rehydrate(spark.createDataFrame([(1, "x")], "k int, t string"), "k", "t")
+    assert one.delete() and not one.exists() and not one.delete()
+    with pytest.raises(ValueError, match="anonymise comes first"):
+        one.rehydrate(whole, "conversation_id", "text")
+    with pytest.raises(ValueError, match="store and a key"):
+        Engine().session("c")
+
+
+def test_store_refuses_two_rows_for_a_conversation(spark, tmp_path):
+    s = store.MapStore(spark, str(tmp_path / "maps"))
+    rows = spark.createDataFrame([("a", "1", "iv", "tag", None, "v", None)] * 2, "conversation_id string, ciphertext string, iv string, auth_tag string, entity_counts map<string,bigint>, model_version string, created_at bigint")
+    with pytest.raises(ValueError, match="conversation a"):
+        s.save(rows, 1)
+
+
+def test_offsets_of_line_ends(spark):
+    text = "ab\r\ncd\r\n\r\ne"
+    rows = spark.createDataFrame([(text, i) for i in range(len(text) + 1)] + [(None, 1)], "t string, i int").select("t", "i", spans.to_normalised_offset(F.col("t"), F.col("i")).alias("n"), spans.to_original_offset(F.col("t"), F.col("i")).alias("o")).collect()
+    places = [i for i in range(len(text)) if text[i : i + 2] == "\r\n"]
+    for r in rows:
+        if r.t is None:
+            assert r.n is None and r.o is None
+            continue
+        assert r.n == r.i - sum(p < r.i for p in places)
+        counted = at = 0
+        for p in places:
+            if at + p - counted > r.i:
+                break
+            counted, at = counted + 1, p - counted
+        assert r.o == r.i + counted
+
+
+def test_models_see_batches():
+    seen = []
+    vocabulary = ner.test_vocabulary()
+
+    def predict(batches):
+        seen.append(len(batches))
+        return [np.eye(9)[[3 if i == vocabulary["▁J"] else 0 for i in ids]] * 9 for ids in batches]
+
+    model = ner.Model(ner.Tokeniser(vocabulary), predict, batch=2)
+    got = model.predict_all(["J met", "", "met J and", "x"], Policy())
+    assert [[s.text for s in spans_] for spans_ in got] == [["J"], [], ["J"], []] and seen == [2, 1]
+    assert model.tokeniser.token(vocabulary["▁J"]) == "▁J" and model.tokeniser.number("nothing") == vocabulary["<unk>"]
+    with pytest.raises(ValueError, match="no valid JSON"):
+        ner.read_vocabulary("{x")
+
+
+def test_functions_marked_once_are_evaluated_once(spark):
+    @once
+    @F.arrow_udf("array<int>")
+    def twice(x):
+        return pa.array([[v, v] for v in x.to_pylist()], pa.list_(pa.int32()))
+
+    out = spark.range(3).select(F.explode(twice(F.col("id").cast("int"))).alias("v")).where("v > 0")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and out.count() == 4
+
+
+def test_written_tables_go_with_their_block(spark):
+    from maskwright.runtime import bounded, cut, discard, scratch
+
+    with scratch():
+        kept = cut(spark.range(5))
+        path = kept._written_path
+        assert bounded(kept).count() == 5 and os.path.exists(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+    other = cut(spark.range(2))
+    discard(other)
+    assert not os.path.exists(other._written_path.removeprefix("file:"))
+
+
+def test_recognisers_as_a_table_function(spark):
+    spark.udtf.register("find_personal", find_table())
+    spark.createDataFrame([(1, "a@b.example and c@d.example"), (2, None), (3, "")], "id int, text string").createOrReplaceTempView("messages")
+    rows = spark.sql("SELECT id, f.type, f.start, f.text FROM messages, LATERAL find_personal(messages.text) f").collect()
+    assert sorted((r.id, r.type, r.start, r.text) for r in rows) == [(1, "EMAIL", 0, "a@b.example"), (1, "EMAIL", 16, "c@d.example")]
