@@ -1,7 +1,8 @@
 """Problem 1: spellings of the same person or organisation.
 
 Candidates come from a prefix-filtered set-similarity join on the q-grams of tokens: a token's q-grams are ordered by how rare they
-are in the corpus; tokens within one edit of each other share one of their first ``PREFIX`` q-grams, so that only those are joined.
+are in the corpus; tokens within the edits allowed at their length share two of the first few q-grams, so that only those are joined.
+Tokens too short for that are joined on what is left of them without one letter.
 A string is found by the rarest of its tokens, as many as are needed that the rest cannot reach the similarity alone, and by
 the tokens close to them; so a family name that a third of all strings share is no meeting point. Persons are found by pairs
 of a family name and a form of the first name or its letter as well, as the verifier asks no more of them. Candidates are
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,14 +29,14 @@ from pyspark.sql import types as T
 
 from maskwright.llm.canonlist import edits, fold
 from maskwright.llm.components import components
-from maskwright.llm.lookalike import canonical
-from maskwright.runtime import cut
+from maskwright.llm.lookalike import skeleton
+from maskwright.runtime import cut, discard, once
 
 Q = 3
-#: One edit touches at most Q + 1 of a token's q-grams, so the first Q + 2 in any order hold a shared one.
-PREFIX = Q + 2
-#: Tokens shorter than this are joined exactly only.
-FUZZY_FROM = 5
+#: Letters from which two edits are allowed instead of one, and below which none is.
+TWO_EDITS_FROM, EDITS_FROM = 10, 3
+#: An edit touches at most Q + 1 of a token's q-grams; so a token longer than this has two that it leaves alone.
+GRAMS_FROM = Q + 2
 #: Weighted share of tokens that must match.
 SIMILARITY = 0.8
 
@@ -74,7 +75,7 @@ _DOTTED = re.compile(r"\b(?:[^\W\d_]\.\s?){2,}", re.UNICODE)
 
 def name_tokens(kind: str, text: str | None) -> list[str]:
     """The tokens of a name in one form: without titles, legal forms and joiners, hyphenated names in parts."""
-    plain = canonical(text or "")
+    plain = skeleton(text or "")
     if kind != "ORG":
         flat = fold(_CAMEL.sub(" ", plain))
         tokens = _LETTERS.findall(flat)
@@ -89,21 +90,24 @@ def name_tokens(kind: str, text: str | None) -> list[str]:
     return kept or tokens
 
 
+def _forms(familiar: Mapping[str, frozenset[str]]) -> Callable[[str], frozenset[str]]:
+    """A name's formal forms, itself included."""
+    return lambda name: familiar.get(name, frozenset()) | {name}
+
+
 def _close(a: str, b: str) -> bool:
     if a == b:
         return True
     n = min(len(a), len(b))
-    if n < 3:
+    if n < EDITS_FROM:
         return False
-    return edits(a, b, 1) <= 1 if n < 10 else edits(a, b, 2) <= 2
-
+    most = 2 if n >= TWO_EDITS_FROM else 1
+    return edits(a, b, most) <= most
 
-def _formal(name: str) -> frozenset[str]:
-    return FAMILIAR.get(name, frozenset()) | {name}
 
-
-def same_first(a: Sequence[str], b: Sequence[str]) -> bool:
+def same_first(a: Sequence[str], b: Sequence[str], familiar: Mapping[str, frozenset[str]] = FAMILIAR) -> bool:
     """Are these first names (tokens in order) forms of one name? Later names may be left out."""
+    _formal = _forms(familiar)
     whole_a, whole_b = "-".join(a), "-".join(b)
     if _formal(whole_a) & _formal(whole_b) or any(_formal(x) & _formal(whole_b) for x in a[:1]) or any(_formal(whole_a) & _formal(x) for x in b[:1]):
         return True
@@ -121,10 +125,11 @@ def same_first(a: Sequence[str], b: Sequence[str]) -> bool:
 STRONG, WEAK = "strong", "weak"
 
 
-def judge_person(a: Sequence[str], wa: Sequence[float], b: Sequence[str], wb: Sequence[float]) -> str | None:
+def judge_person(a: Sequence[str], wa: Sequence[float], b: Sequence[str], wb: Sequence[float], familiar: Mapping[str, frozenset[str]] = FAMILIAR) -> str | None:
     """``strong``: same family name and first name; ``weak``: the first name is an initial or missing on one side."""
     if "".join(a) == "".join(b):
         return STRONG
+    _formal = _forms(familiar)
     sides = []
     for tokens, weights in ((a, wa), (b, wb)):
         full = [(w, t) for t, w in zip(tokens, weights, strict=True) if len(t) > 1 and t not in PARTICLES]
@@ -142,7 +147,7 @@ def judge_person(a: Sequence[str], wa: Sequence[float], b: Sequence[str], wb: Se
         return None
     ra, rb = [x for _, x in fa if x != s], [x for _, x in fb if x != t]
     if ra and rb:
-        return STRONG if same_first(ra, rb) or same_first(ra[::-1], rb) else None
+        return STRONG if same_first(ra, rb, familiar) or same_first(ra[::-1], rb, familiar) else None
     if not ra and not rb:
         return STRONG if sorted(ia) == sorted(ib) or (ia and ib and ia[0] == ib[0]) else (WEAK if not ia or not ib else None)
     names, initials = (ra, ib) if ra else (rb, ia)
@@ -152,12 +157,13 @@ def judge_person(a: Sequence[str], wa: Sequence[float], b: Sequence[str], wb: Se
     return WEAK
 
 
-def person_signs(tokens: Sequence[str], weights: Sequence[float]) -> tuple[list[str], list[str]]:
+def person_signs(tokens: Sequence[str], weights: Sequence[float], familiar: Mapping[str, frozenset[str]] = FAMILIAR) -> tuple[list[str], list[str]]:
     """Signs of a family name with a first name: those with the rarest token as family name, and those with any.
 
     Two names that ``judge_person`` accepts for a family name spelt alike share one of the first's own with any of the other's, or the
     other way round. A first name counts in all its forms, by its letter to meet initials, and as a dot alone to meet none.
     """
+    _formal = _forms(familiar)
     full = [(w, t) for t, w in zip(tokens, weights, strict=True) if len(t) > 1 and t not in PARTICLES]
     initials = [t for t in tokens if len(t) == 1]
     own: set[str] = set()
@@ -219,9 +225,7 @@ def judge_org(a: Sequence[str], wa: Sequence[float], b: Sequence[str], wb: Seque
     return STRONG if rare_met and got >= SIMILARITY * total else None
 
 
-JUDGES = {"ORG": judge_org, "PERSON": judge_person}
-
-
+@once
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _tokens_arrow(kinds: pa.Array, texts: pa.Array) -> pa.Array:
     return pa.array([name_tokens(k, t) for k, t in zip(kinds.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.string()))
@@ -230,21 +234,30 @@ def _tokens_arrow(kinds: pa.Array, texts: pa.Array) -> pa.Array:
 _ARROW_SIGNS = pa.struct([("own", pa.list_(pa.string())), ("every", pa.list_(pa.string()))])
 
 
-@F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("own", "every")]))
-def _person_signs_arrow(tokens: pa.Array, weights: pa.Array) -> pa.Array:
-    both = [person_signs(t, w) for t, w in zip(tokens.to_pylist(), weights.to_pylist(), strict=True)]
-    return pa.array([{"own": own, "every": every} for own, every in both], _ARROW_SIGNS)
+def _person_signs_of(familiar: Mapping[str, frozenset[str]]):
+    @once
+    @F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("own", "every")]))
+    def signs(tokens: pa.Array, weights: pa.Array) -> pa.Array:
+        both = [person_signs(t, w, familiar) for t, w in zip(tokens.to_pylist(), weights.to_pylist(), strict=True)]
+        return pa.array([{"own": own, "every": every} for own, every in both], _ARROW_SIGNS)
 
+    return signs
 
-@F.arrow_udf(T.StringType())
-def _judge_arrow(kinds: pa.Array, a: pa.Array, wa: pa.Array, b: pa.Array, wb: pa.Array) -> pa.Array:
-    rows = zip(kinds.to_pylist(), a.to_pylist(), wa.to_pylist(), b.to_pylist(), wb.to_pylist(), strict=True)
-    return pa.array([JUDGES.get(k, judge_person)(x, u, y, v) for k, x, u, y, v in rows], pa.string())
 
+def _judge_of(familiar: Mapping[str, frozenset[str]]):
+    @once
+    @F.arrow_udf(T.StringType())
+    def judge(kinds: pa.Array, a: pa.Array, wa: pa.Array, b: pa.Array, wb: pa.Array) -> pa.Array:
+        rows = zip(kinds.to_pylist(), a.to_pylist(), wa.to_pylist(), b.to_pylist(), wb.to_pylist(), strict=True)
+        return pa.array([judge_org(x, u, y, v) if k == "ORG" else judge_person(x, u, y, v, familiar) for k, x, u, y, v in rows], pa.string())
 
+    return judge
+
+
+@once
 @F.arrow_udf(T.BooleanType())
-def _one_edit_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([edits(x, y, 1) <= 1 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+def _close_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_close(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
 def qgrams(token: Column) -> Column:
@@ -254,23 +267,52 @@ def qgrams(token: Column) -> Column:
 
 
 def close_tokens(tokens: DataFrame) -> DataFrame:
-    """(kind, token, other) of different tokens within one edit, both directions, from distinct (kind, token) rows."""
-    grams = tokens.where(F.length("token") >= FUZZY_FROM).select("kind", "token", F.explode(qgrams(F.col("token"))).alias("g")).select("kind", "token", "g.*")
+    """(kind, token, other) of different tokens within the edits that ``_close`` allows, both directions, from distinct (kind, token) rows.
+
+    Two tokens of n q-grams at most share n - (Q + 1) * edits of them, which is two at least; so two of the first (Q + 1) * edits + 2 of either, in order
+    of rarity, are the same, and tokens are joined on pairs of those.
+    """
+    size = F.length("token")
+    listed = tokens.where(size >= GRAMS_FROM).select("kind", "token", qgrams(F.col("token")).alias("gs"))
+    # a q-gram that occurs again is another one
+    numbered = F.transform("gs", lambda g, i: F.struct(F.concat(g.gram, F.size(F.filter(F.slice("gs", 1, i), lambda h: h.gram == g.gram)).cast("string")).alias("gram"), g["at"].alias("at")))
+    grams = listed.select("kind", "token", F.explode(numbered).alias("g")).select("kind", "token", "g.*")
     counts = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = grams.join(counts, ["kind", "gram"]).groupBy("kind", "token").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram", "at"))), 1, PREFIX).alias("prefix"))
-    prefix = cut(ranked.select("kind", "token", F.explode("prefix").alias("g")).select("kind", "token", "g.gram", "g.at", F.length("token").alias("size")))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.abs(F.col("a.at") - F.col("b.at")) <= 2) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1) & (F.col("a.token") < F.col("b.token"))
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.gram") == F.col("b.gram")) & near)
-    pairs = met.where(F.levenshtein(F.col("a.token"), F.col("b.token"), 2) >= 0).select("a.kind", F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
-    verified = cut(pairs.where(_one_edit_arrow(F.col("token"), F.col("other"))))
+    rarest = F.array_sort(F.collect_list(F.struct("n", "gram", "at")))
+    needed = (Q + 1) * F.when(size >= TWO_EDITS_FROM, 2).otherwise(1) + 2
+    ranked = grams.join(counts, ["kind", "gram"]).groupBy("kind", "token").agg(rarest.alias("grams")).select("kind", "token", F.slice("grams", F.lit(1), needed).alias("prefix"))
+    # pairs in the order of the token, which edits of other q-grams leave as it is; they move either one by no more than their number
+    ordered = F.array_sort("prefix", lambda x, y: x["at"] - y["at"])
+    both = F.flatten(F.transform(ordered, lambda g, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda h: F.struct(F.concat(g.gram, h.gram).alias("sign"), g["at"].alias("at"), (h["at"] - g["at"]).alias("gap")))))
+    signs = ranked.select("kind", "token", F.explode(both).alias("s")).select("kind", "token", "s.*")
+    # one edit apart means one letter less, on one side or on both
+    short = tokens.where(size.between(EDITS_FROM, GRAMS_FROM))
+    less = F.transform(F.sequence(F.lit(0), size), lambda i: F.concat(F.lit("-"), F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(GRAMS_FROM))))
+    signs = cut(signs.unionAll(short.select("kind", "token", F.explode(F.array_distinct(less)).alias("sign"), F.lit(0).alias("at"), F.lit(0).alias("gap"))))
+    a, b = signs.alias("a"), signs.alias("b")
+    sizes = [F.length(f"{x}.token") for x in "ab"]
+    allowed = F.when(F.least(*sizes) >= TWO_EDITS_FROM, 2).otherwise(1)
+    apart = lambda x, y: F.abs(x - y) <= allowed
+    near = apart(F.col("a.at"), F.col("b.at")) & apart(F.col("a.gap"), F.col("b.gap")) & apart(*sizes)
+    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.sign") == F.col("b.sign")) & (F.col("a.token") < F.col("b.token")) & near)
+    # a swap of neighbours is two of the plain edits, and leaves the letters the same
+    plain = F.levenshtein(F.col("a.token"), F.col("b.token"), 4)
+    letters = [F.array_sort(F.split(f"{x}.token", "")) for x in "ab"]
+    swapped = (plain > allowed) & (plain <= 2 * allowed) & F.when(plain == 2 * allowed, letters[0] == letters[1]).otherwise(F.size(F.array_except(*letters)) <= 1)
+    likely = plain.between(0, allowed) | swapped
+    pairs = met.where(likely).select("a.kind", F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
+    verified = cut(pairs.where(_close_arrow(F.col("token"), F.col("other"))))
+    discard(signs)
     return verified.unionAll(verified.select("kind", F.col("other").alias("token"), F.col("token").alias("other")))
 
 
-def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSON", "ORG")) -> DataFrame:
-    """(kind, text, entity): the entity of every distinct string that has another spelling; entity is the smallest id of its strings."""
+def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSON", "ORG"), familiar: Mapping[str, frozenset[str]] = FAMILIAR) -> DataFrame:
+    """(kind, text, entity): the entity of every distinct string that has another spelling; entity is the smallest id of its strings.
+
+    ``familiar`` has the names that a familiar form stands for. Ids have 128 bits; only ids and signs are shuffled, and tokens looked up at the end.
+    """
     distinct = values.select(F.col(kind).alias("kind"), F.col(text).alias("text")).where(F.col("kind").isin(*kinds) & F.col("text").rlike(r"\S")).distinct()
-    strings = cut(distinct.select(F.xxhash64("kind", "text").alias("id"), "kind", "text", _tokens_arrow(F.col("kind"), F.col("text")).alias("tokens")))
+    strings = cut(distinct.select(F.md5(F.concat_ws("\x1f", "kind", "text")).alias("id"), "kind", "text", _tokens_arrow(F.col("kind"), F.col("text")).alias("tokens")))
     totals = {r.kind: r.n for r in strings.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a kind
     each = strings.select("id", "kind", F.posexplode("tokens").alias("at", "token"))
     vocabulary = cut(each.select("id", "kind", "token").distinct().groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df")))
@@ -280,10 +322,10 @@ def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSO
     commonness = vocabulary.join(around, ["kind", "token"], "left").select("kind", "token", (F.col("df") + F.coalesce("more", F.lit(0))).alias("df"))
     size = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(n))) for k, n in totals.items()], F.lit(1.0))
     weighed = each.join(commonness, ["kind", "token"]).select("id", "kind", F.struct("at", "token", F.log1p(size / F.col("df")).alias("weight")).alias("t"))
-    told = weighed.groupBy("id", "kind").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    told = told.select("id", "kind", F.col("ts.token").alias("tokens"), F.col("ts.weight").alias("weights"), F.filter("ts", lambda t: (F.length(t.token) >= FUZZY_FROM) & ~((F.col("kind") == "PERSON") & t.token.isin(*sorted(FAMILIAR)))).alias("long"), "ts")
-    named = cut(told.where("kind <> 'ORG'").select("id", "kind", "tokens", "weights", _person_signs_arrow(F.col("tokens"), F.col("weights")).alias("s")))
-    told = told.withColumn("ts", F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("ts")))  # short tokens are abbreviations and the like, familiar forms stand for others
+    told = cut(weighed.groupBy("id", "kind").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("id", "kind", "ts", F.col("ts.token").alias("tokens"), F.col("ts.weight").alias("weights")))
+    named = cut(told.where("kind <> 'ORG'").select("id", "kind", _person_signs_of(familiar)(F.col("tokens"), F.col("weights")).alias("s")))
+    long = F.filter("ts", lambda t: (F.length(t.token) >= GRAMS_FROM) & ~((F.col("kind") == "PERSON") & t.token.isin(*sorted(familiar))))
+    ranked = told.select("id", "kind", "tokens", F.when(F.size(long) > 0, long).otherwise(F.col("ts")).alias("ts"))  # short tokens are abbreviations and the like, familiar forms stand for others
     # the rarest tokens, until what is left weighs less than the similarity asks for
     total = F.aggregate("ts", F.lit(0.0), lambda s, t: s + t.weight)
     rarest = F.array_sort("ts", lambda x, y: F.when(x.weight > y.weight, -1).when(x.weight < y.weight, 1).otherwise(F.when(x.token < y.token, -1).when(x.token > y.token, 1).otherwise(0)))
@@ -292,20 +334,20 @@ def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSO
         F.struct(F.lit(0.0).alias("seen"), F.array().cast("array<string>").alias("kept")),
         lambda s, t: F.when(F.col("total") - s.seen >= SIMILARITY * F.col("total"), F.struct((s.seen + t.weight).alias("seen"), F.concat(s.kept, F.array(t.token)).alias("kept"))).otherwise(s),
     )
-    signed = told.withColumn("total", total).withColumn("sign", F.array_distinct(F.concat(needed.kept, F.array(F.concat(F.lit("="), F.array_join("tokens", ""))))))
-    signs = cut(signed.select("id", "kind", "tokens", "weights", F.explode("sign").alias("token")))
-    moved = signs.join(close, ["kind", "token"]).select("id", "kind", "tokens", "weights", F.col("other").alias("token")).unionAll(signs)
-    own = named.select("id", "kind", "tokens", "weights", F.explode("s.own").alias("sign")).select("id", "kind", "tokens", "weights", *[F.split_part("sign", F.lit("|"), F.lit(k)).alias(c) for k, c in ((1, "family"), (2, "first"))])
+    signed = ranked.withColumn("total", total).withColumn("sign", F.array_distinct(F.concat(needed.kept, F.array(F.concat(F.lit("="), F.array_join("tokens", ""))))))
+    signs = cut(signed.select("id", "kind", F.explode("sign").alias("token")))
+    moved = signs.join(close, ["kind", "token"]).select("id", "kind", F.col("other").alias("token")).unionAll(signs)
+    own = named.select("id", "kind", F.explode("s.own").alias("sign")).select("id", "kind", *[F.split_part("sign", F.lit("|"), F.lit(k)).alias(c) for k, c in ((1, "family"), (2, "first"))])
     for part in ("family", "first"):  # and their close spellings
         own = own.unionByName(own.join(close.withColumnRenamed("token", part), ["kind", part]).drop(part).withColumnRenamed("other", part))
-    moved = moved.unionAll(own.select("id", "kind", "tokens", "weights", F.concat_ws("|", "family", "first")))
-    signs = signs.unionAll(named.select("id", "kind", "tokens", "weights", F.explode("s.every")))
-    other = signs.select(F.col("kind").alias("kind_b"), F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in ("id", "tokens", "weights")])
+    moved = moved.unionAll(own.select("id", "kind", F.concat_ws("|", "family", "first")))
+    signs = signs.unionAll(named.select("id", "kind", F.explode("s.every")))
+    other = signs.select(F.col("kind").alias("kind_b"), F.col("token").alias("token_b"), F.col("id").alias("id_b"))
     met = moved.join(other, (F.col("kind") == F.col("kind_b")) & (F.col("token") == F.col("token_b")) & (F.col("id") != F.col("id_b")))
-    first = F.col("id") < F.col("id_b")
-    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(f"{c}_{n}") for c in ("id", "tokens", "weights") for n, x, y in (("l", c, f"{c}_b"), ("r", f"{c}_b", c))]
-    candidates = cut(met.select(F.col("kind").alias("of"), *ends).dropDuplicates(["id_l", "id_r"]))
-    judged = cut(candidates.select("id_l", "id_r", _judge_arrow(*map(F.col, ("of", "tokens_l", "weights_l", "tokens_r", "weights_r"))).alias("verdict")).where("verdict IS NOT NULL"))
+    candidates = met.select(F.least("id", "id_b").alias("id_l"), F.greatest("id", "id_b").alias("id_r")).distinct()
+    side = lambda n: told.select(F.col("id").alias(f"id_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("kind", "tokens", "weights")])
+    looked = candidates.join(side("l"), "id_l").join(side("r").drop("kind_r"), "id_r")
+    judged = cut(looked.select("id_l", "id_r", _judge_of(familiar)(*map(F.col, ("kind_l", "tokens_l", "weights_l", "tokens_r", "weights_r"))).alias("verdict")).where("verdict IS NOT NULL"))
     strong = judged.where(F.col("verdict") == STRONG)
     groups = components(strong.unionAll(judged.where(F.col("verdict") == WEAK).selectExpr("id_l", "id_l AS id_r", "verdict")).unionAll(judged.where(F.col("verdict") == WEAK).selectExpr("id_r AS id_l", "id_r", "verdict")), "id_l", "id_r")
     groups = cut(groups)
@@ -320,9 +362,9 @@ def link(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSO
     return strings.select("id", "kind", "text").join(final, "id").select("kind", "text", "entity")
 
 
-def variant_pairs(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSON", "ORG")) -> DataFrame:
+def variant_pairs(values: DataFrame, kind: str, text: str, kinds: Sequence[str] = ("PERSON", "ORG"), familiar: Mapping[str, frozenset[str]] = FAMILIAR) -> DataFrame:
     """(kind, text_a, text_b) with text_a < text_b: every pair of different strings of one entity."""
-    member = cut(link(values, kind, text, kinds))
+    member = cut(link(values, kind, text, kinds, familiar))
     a, b = member.alias("a"), member.alias("b")
     pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.text") < F.col("b.text")))
     return pairs.select(F.col("a.kind").alias("kind"), F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"))
