@@ -81,10 +81,11 @@ class Recogniser:
 # --- where patterns can match: cheap tests before dear patterns -----------------------------------------------------------
 
 _NUMBERS = P.compiled(r"[0-9+(][0-9+()\s./-]{5,}")
-_ACCOUNTS = P.compiled(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9\s.-]{9,}")
+_ACCOUNT_RUN = P.compiled(r"[A-Za-z0-9\s.-]+")
+_DIGITS = re.compile("[0-9]{2,}")
+_CAPITALS_DIGITS = P.compiled(r"[A-Z]{2}[\s-]?[0-9]{4}")
 _FOUR_DIGITS = re.compile("[0-9]{4}")
 _SIX_CAPITALS = re.compile("[A-Z]{6}")
-_DOTTED = re.compile(r"[0-9.]{7,}")
 
 
 @lru_cache(8)
@@ -101,12 +102,28 @@ def _with_digits(least: int) -> Callable[[str, int], Parts]:
     return where
 
 
-def _runs(rx: re.Pattern) -> Callable[[str, int], Parts]:
-    def where(text: str, patterns: int) -> Parts:
-        parts = [(m.start(), m.end() + 1) for m in rx.finditer(text)]
-        return [(k, a, b) for k in range(patterns) for a, b in parts] if parts else ()
+def _accounts(text: str, patterns: int) -> Parts:
+    """Runs of letters, digits and separators from two letters before two digits on, long enough for an account number."""
+    parts, done = [], 0
+    for m in _DIGITS.finditer(text):
+        start = m.start() - 2
+        if start >= done and text[start : start + 2].isalpha() and text[start : start + 2].isascii():
+            done = _ACCOUNT_RUN.match(text, start).end()
+            if done - start > 12:
+                parts.append((start, done + 1))
+    return [(k, a, b) for k in range(patterns) for a, b in parts] if parts else ()
 
-    return where
+
+def _cases(text: str, patterns: int) -> Parts:
+    """For the first pattern what lies around capitals before four digits, as its matches have 19 characters at most; for the second its words."""
+    parts: list[list[int]] = []
+    for m in _CAPITALS_DIGITS.finditer(text):
+        start, end = max(0, m.start() - 1), m.start() + 20
+        if parts and start <= parts[-1][1]:
+            parts[-1][1] = end
+        else:
+            parts.append([start, end])
+    return [*((0, a, b) for a, b in parts), *(((1, 0, len(text)),) if _CASE_WORDS(text) else ())]
 
 
 def _if(*tests: Callable[[str], object]) -> Callable[[str, int], Parts]:
@@ -115,7 +132,7 @@ def _if(*tests: Callable[[str], object]) -> Callable[[str, int], Parts]:
 
 
 def _addresses(text: str, patterns: int) -> Parts:
-    parts = [(0, m.start(), m.end() + 1) for m in _DOTTED.finditer(text)] if "." in text else []
+    parts = [(0, a, b) for a, b, n in _numbers(text) if n > 3 and text.count(".", a, b) > 2] if "." in text else []
     if "::" in text or text.count(":") > 6:
         parts += [(k, 0, len(text)) for k in range(1, patterns)]
     return parts
@@ -133,6 +150,9 @@ def _case_words(*words: str) -> Callable[[str], bool]:
     return there
 
 
+_CASE_WORDS = _case_words("case", "file", "ref", "ticket")
+
+
 def _of(*patterns: str, confidence: float, ignore_case: bool = False) -> tuple[tuple[re.Pattern, float], ...]:
     return tuple((P.compiled(p, ignore_case), confidence) for p in patterns)
 
@@ -147,7 +167,7 @@ PHONE = Recogniser(
     longer,
     where=_with_digits(7),
 )
-IBAN = Recogniser("IBAN", "IBAN", _of(P.IBAN_SPACES, P.IBAN_SEPARATORS, confidence=0.99, ignore_case=True), C.iban_valid, C.iban_normal, where=_runs(_ACCOUNTS))
+IBAN = Recogniser("IBAN", "IBAN", _of(P.IBAN_SPACES, P.IBAN_SEPARATORS, confidence=0.99, ignore_case=True), C.iban_valid, C.iban_normal, where=_accounts)
 BIC = Recogniser("BIC_SWIFT", "BIC/SWIFT Code", _of(P.BIC, confidence=0.95), C.bic_valid, lambda t: t.strip().upper(), where=_if(_SIX_CAPITALS.search))
 CARD = Recogniser(
     "CREDIT_CARD",
@@ -187,7 +207,7 @@ def custom_ids(patterns: Sequence[IdPattern], name: str = "Custom ID", where: Ca
     return Recogniser("CASE_ID", name, compiled, span_types=tuple(p.type for p in patterns), checks=tuple(p.validate for p in patterns), where=where)
 
 
-CASE = custom_ids([COMMON_ID_PATTERNS["germanCaseId"], COMMON_ID_PATTERNS["genericCaseNumber"]], "Case ID", _if(_FOUR_DIGITS.search, _case_words("case", "file", "ref", "ticket")))
+CASE = custom_ids([COMMON_ID_PATTERNS["germanCaseId"], COMMON_ID_PATTERNS["genericCaseNumber"]], "Case ID", _cases)
 CUSTOMER = custom_ids([COMMON_ID_PATTERNS["customerNumber"]], "Customer ID", _if(lambda text: _FOUR_DIGITS.search(text) and _case_words("cust", "kd", "kunden")(text)))
 
 
@@ -252,6 +272,18 @@ def detect(text: Column, policy: Policy | None = None, registry: Registry | None
     return find(text)
 
 
+def find_table(policy: Policy | None = None, registry: Registry | None = None):
+    """The matches as a table function for SQL: register it and use it with LATERAL. Null and empty texts have no rows."""
+    rules, recognisers = policy or Policy(), registry or default_registry()
+
+    class Find:
+        def eval(self, text: str):
+            for s in recognisers.find_all(text, rules) if text else ():
+                yield s.type, s.start, s.end, s.confidence, s.source, s.text
+
+    return F.udtf(Find, returnType="type string, start int, end int, confidence double, source string, text string", useArrow=True)
+
+
 ARROW_SPANS = pa.list_(
     pa.struct(
         [

@@ -98,7 +98,9 @@ def find_tags(text: str, strict: bool = False) -> list[tuple[int, str, str, int,
     found: dict[int, tuple] = {}
     if "<" not in text and "&lt;" not in text:
         return []
-    for rx in (STRICT,) if strict else (TYPE_FIRST, ID_FIRST):
+    # where every opening sign begins a tag as it is made, there are no others
+    plain = strict or text.count("<") + text.count("&lt;") == sum(1 for _ in STRICT.finditer(text))
+    for rx in (STRICT,) if plain else (TYPE_FIRST, ID_FIRST):
         for m in rx.finditer(text):
             number, kind, gender, scope = (m[1], m[2], None, None) if rx is ID_FIRST else (m[4], m[1], m[2], m[3])
             if kind.upper() in ALL_TYPES:
