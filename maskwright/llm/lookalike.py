@@ -103,16 +103,18 @@ def skeleton(text: str | None) -> str | None:
     return text if text is None else _spliced(text, _KEY)
 
 
-_WORD = re.compile(r"[^\W\d_]+")
+_MARKS = r"\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 
 
 @lru_cache(1 << 12)
 def _script(ch: str) -> str:
-    return "LATIN" if ch.isascii() else unicodedata.name(ch, "?").split()[0]
+    """The script of a letter; phonetic letters are one of their own."""
+    return "LATIN" if ch.isascii() else "PHONETIC" if 0x250 <= ord(ch) < 0x2B0 else unicodedata.name(ch, "?").split()[0]
 
 
 def _unmixed(word: re.Match) -> str:
-    return "".join([LOOKALIKES.get(ch, ch) for ch in word[0]]) if len(set(map(_script, word[0]))) > 1 else word[0]
+    return "".join([LOOKALIKES.get(ch, ch) for ch in word[0]]) if len({_script(ch) for ch in word[0] if ch.isalpha()}) > 1 else word[0]
 
 
 def canonical(text: str | None) -> str | None:
