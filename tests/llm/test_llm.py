@@ -60,6 +60,50 @@ def test_close_tokens_equal_brute_force(spark):
     assert got == {(a, b) for a in words for b in words if a != b and canonlist.edits(a, b, 2) <= allowed(a, b)}
 
 
+def test_close_tokens_of_any_length_equal_brute_force(spark):
+    """Also where listed letters end and q-grams begin, and with a swap across any place."""
+    rng = random.Random(6)
+    words = set()
+    for size in (9, 10, 15, *range(16, 23)):
+        whole = "".join(rng.choice("abcdef") for _ in range(size))
+        for _ in range(12):
+            w = list(whole)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(w) - 1)
+                w[at : at + 2] = rng.choice(([w[at + 1], w[at]], [w[at]], ["x", w[at + 1]], [*w[at : at + 2], "y"]))
+            words.add("".join(w))
+    got = {(r.token, r.other) for r in variants.close_tokens(spark.createDataFrame([("X", w) for w in words], "kind string, token string")).collect()}
+    allowed = lambda a, b: 1 if min(len(a), len(b)) < 10 else 2
+    assert got == {(a, b) for a in words for b in words if a != b and canonlist.edits(a, b, 2) <= allowed(a, b)}
+    assert any(min(len(a), len(b)) > variants.DELETED_UP_TO - 2 for a, b in got)
+
+
+def test_pairs_compared_do_not_grow_with_the_square_of_the_vocabulary(spark, monkeypatch):
+    """Tokens made of the same syllables share q-grams, but are not compared for that."""
+    rng = random.Random(8)
+    syllables = [a + b + c for a in ("kr", "bl", "st", "dr", "fl") for b in "aeio" for c in "nrls"]
+    words = {"".join(rng.choice(syllables) for _ in range(3)) for _ in range(3000)}
+    pairs = []
+
+    def counted(df):
+        if "sign" in df.columns:
+            n = df.groupBy("sign").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+            pairs.append(int(n))
+        return variants_cut(df)
+
+    variants_cut = variants.cut
+    monkeypatch.setattr(variants, "cut", counted)
+    variants.close_tokens(spark.createDataFrame([("X", w) for w in words], "kind string, token string")).count()
+    assert pairs and max(pairs) < 10 * len(words)
+
+
+def test_links_do_not_turn_with_the_order_of_rows(spark):
+    names = ["Jean-Luc Zorginuj", "Nea-Luc Zorginuj", "Karl-Heinz van Ftepdtujzuj", "Matl-Heinz van Ftepdtujzuj", "Anna-Lena Rtalfigted", "Alla-Lena Rtalfigted", "Robert Miller", "Susan Miller"]
+    rows = [("PERSON", n) for n in names]
+    got = [{tuple(r) for r in variants.link(spark.createDataFrame(x, "k string, t string").repartition(n), "k", "t").collect()} for x, n in ((rows, 1), (rows[::-1], 1), (rows, 7))]
+    assert got[0] == got[1] == got[2]
+
+
 def test_short_and_twice_misspelt_names_meet(spark):
     odd = random.Random(7)
     fill = [f"{odd.choice(('Greta', 'Otto', 'Ulrich', 'Eva'))} {''.join(odd.choice('bdfgklmnprst') + odd.choice('aeiou') for _ in range(4)).title()}" for _ in range(120)]
