@@ -17,11 +17,13 @@ Defined results: null and empty texts have no spans; placeholders already in a t
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache, wraps
+from itertools import accumulate, compress, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,35 @@ IBAN_LENGTHS = {
 }
 
 _PLACEHOLDER = re.compile(r"(?:<|&lt;)\s*/?\s*pii\b[^<>]*?/?\s*(?:>|&gt;)", re.I)
+
+
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """The collector rests while a batch is worked on, which makes no cycles, so that what a worker keeps of chunks is not gone through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def _batch(function: Callable) -> Callable:
+    @wraps(function)
+    def quiet(*columns: pa.Array) -> pa.Array:
+        with _no_cycles():
+            return function(*columns)
+
+    return quiet
+
+
+@lru_cache(1)
+def _placeholders(text: str) -> list[tuple[int, int]]:
+    """Spans of the placeholders; both passes over a text ask for them in a row."""
+    return [m.span() for m in _PLACEHOLDER.finditer(text)] if "<" in text or "&lt;" in text else []
+
+
 _DOT = r"(?:\.| ?[(\[]dot[)\]] ?)"
 _CARD = re.compile(r"(?<![\w+-])[2-6](?:[  \-]?\d){12,18}(?![\w]|-\d)")
 _NATIONAL = re.compile(
@@ -126,8 +157,12 @@ def _iban_end(text: str, start: int) -> int | None:
 
 
 # Digits with what may stand between the groups of a number.
-_DIGIT_GROUPS = re.compile(r"\d+(?:[  .\-/()]{1,3}\d+)*")
+_BETWEEN = r"[  .\-/()]{1,3}"
+_DIGIT_GROUPS = re.compile(rf"\d+(?:{_BETWEEN}\d+)*")
 _DIGITS = re.compile(r"\d+")
+# Those long enough or with a letter near them, and a few more.
+_REST = rf"(?>\d*(?:{_BETWEEN}\d+)*)"
+_TELLING_GROUPS = re.compile(rf"\d(?<!\d\d)(?:(?:(?=(?:\d|{_BETWEEN[:-5]}){{6}})|(?<=[^\W\d_]\d)|(?<=[^\W\d_][ \-]\d)){_REST}|{_REST}(?=[\s\S]?[^\W\d_]))")
 #: Digits below which a number without letters beside it is no identifier.
 _LEAST_DIGITS = 7
 # What may stand before the first digit of an identifier.
@@ -174,14 +209,14 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
     words = _street_words()
     if next(words.iter(text), None):
         for run in _ADDRESS_RUN.finditer(text):
-            if next(words.iter(run[0]), None) and _DIGIT.search(text, *run.span()):
+            if _DIGIT.search(text, *run.span()) and next(words.iter(text, *run.span()), None):
                 yield from (m.span() for m in _ADDRESS.finditer(text, *run.span()))
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str | None]]:
     """Identifiers with digits, in order; None for numbers that only look like them."""
     done = 0
-    for group in _DIGIT_GROUPS.finditer(text):
+    for group in _TELLING_GROUPS.finditer(text):
         first, last = group.span()
         if last - first < _LEAST_DIGITS and not (
             text[last : last + 1].isalpha() or text[last : last + 2][1:].isalpha() or (first and (text[first - 1].isalpha() or (text[first - 1] in " -" and text[first - 2 : first - 1].isupper())))
@@ -213,8 +248,9 @@ def _number_at(text: str, at: int) -> tuple[int, str | None]:
         end, kind = stop, "IBAN"
     elif m := _NATIONAL.match(text, at):
         end, kind = m.end(), "NATIONAL_ID"
-    elif m := _IBAN_LIKE.match(text, at):
-        end = m.end()
+    elif text[at].isalpha():
+        if m := _IBAN_LIKE.match(text, at):
+            end = m.end()
     elif m := _CARD.match(text, at):
         digits = re.sub(r"\D", "", m[0])
         end, kind = m.end(), "CREDIT_CARD" if luhn_valid(digits) and len(set(digits)) > 1 else None
@@ -231,17 +267,16 @@ def _number_at(text: str, at: int) -> tuple[int, str | None]:
 def structured_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the identifiers of a fixed form, without overlaps, in order of position."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = [*_placeholders(text)]
 
     def add(start: int, end: int, kind: str | None) -> None:
-        if not any(start < b and a < end for a, b in taken):
-            taken.append((start, end))
-            if kind:
-                found.append((start, end, kind))
-
-    if "<" in text or "&lt;" in text:
-        for m in _PLACEHOLDER.finditer(text):
-            add(*m.span(), None)
+        for a, b in taken:
+            if start < b and a < end:
+                return
+        taken.append((start, end))
+        if kind:
+            found.append((start, end, kind))
+
     if "@" in text or "＠" in text or "at)" in text or "at]" in text:
         for a, b in _emails(text):
             add(a, b, "EMAIL")
@@ -303,26 +338,29 @@ _NO_GAPS = ["", ""]
 class _Chunk:
     """What stands between two blanks: its words with their places in it, and the gaps before each of them and behind the last."""
 
-    __slots__ = ("words", "starts", "gaps", "small", "elements", "capitals", "head", "tail")
+    __slots__ = ("words", "starts", "gaps", "small", "elements", "capitals", "head", "tail", "plain")
 
     def __init__(self, text: str):
         marked = not text.isascii() and _MARKED.search(text)
         if text.isalpha() and not marked:
             self.words, self.gaps, self.starts = [text], _NO_GAPS, [0]
-        else:
-            parts = (_TOKEN if marked else _PLAIN_TOKEN).split(text)
-            self.words, self.gaps, self.starts = parts[1::2], parts[::2], list(accumulate(map(len, parts)))[::2]
+            self.small = self.elements = [text.casefold()]
+            self.capitals, self.head, self.tail, self.plain = [] if text[0].islower() else [0], "", "", True
+            return
+        parts = (_TOKEN if marked else _PLAIN_TOKEN).split(text)
+        self.words, self.gaps, self.starts = parts[1::2], parts[::2], list(accumulate(map(len, parts)))[::2]
         self.small = [w.casefold() for w in self.words]
-        #: The words in small letters and the marks of the gaps between them; where in there the words with capitals are; the marks of the outer gaps.
+        #: The words in small letters and the marks of the gaps between them; where in there the words with capitals are; the marks of the outer gaps, and whether there are words and none of those.
         self.elements, self.capitals = [], []
         marks = list(map(_mark, self.gaps))
         for word, small, mark in zip(self.words, self.small, ["", *marks[1:-1]], strict=False):
             if mark:
                 self.elements.append(mark)
-            if not word[0].islower() and _facts(word)[1]:
+            if not word.lstrip(_INVISIBLE)[:1].islower():
                 self.capitals.append(len(self.elements))
             self.elements.append(small)
         self.head, self.tail = marks[0], marks[-1]
+        self.plain = bool(self.elements) and not self.head and not self.tail
 
 
 class _Kept(dict):
@@ -399,21 +437,22 @@ def words_of(text: str, masked: list[tuple[int, int, str]], telling: _Kept | Non
     These are the words that stand beside another such one, or are glued from parts. Words that are not ``telling`` are none, but for particles
     before capitals and initials, as no run of names goes over them. Words that begin with a capital in front of another have the context before them.
     """
-    cover = [(a, b) for a, b, _ in masked]
-    if "<" in text or "&lt;" in text:
-        cover += [m.span() for m in _PLACEHOLDER.finditer(text)]
-    if cover:
+    if cover := [(a, b) for a, b, _ in masked] + _placeholders(text):
         text = _masked(text, cover)
     chunks = text.split(" ")
-    found = [(i, j) for i, kept in enumerate(map((_telling() if telling is None else telling).__getitem__, chunks)) if kept for j in kept]
-    if not found:
+    kept = list(map((_telling() if telling is None else telling).__getitem__, chunks))
+    begins, begin, last = {}, 0, 0  # where the chunks with such words are
+    for i in compress(range(len(chunks)), kept):
+        begin += sum(map(len, chunks[last:i])) + i - last
+        begins[i], last = begin, i
+    if not begins:
         return []
-    ends = list(accumulate([len(c) + 1 for c in chunks]))
+    found = [(i, j) for i in begins for j in kept[i]]
     if any(j < 0 for _, j in found):  # particles that reveal nothing by themselves
 
         def leads(i: int, j: int) -> bool:
             chunk = _CHUNKS[chunks[i]]
-            end = ends[i] - len(chunks[i]) - 1 + chunk.starts[j] + len(chunk.words[j])
+            end = begins[i] + chunk.starts[j] + len(chunk.words[j])
             return text[end + 1 : end + 2].isupper()
 
         found = [(i, j if j >= 0 else ~j) for i, j in found if j >= 0 or leads(i, ~j)]
@@ -437,7 +476,7 @@ def words_of(text: str, masked: list[tuple[int, int, str]], telling: _Kept | Non
         word = chunk.words[j]
         key, capital, parts, _ = _facts(word)
         if behind or gaps[k] or parts:
-            start = ends[i] - len(chunks[i]) - 1 + chunk.starts[j]
+            start = begins[i] + chunk.starts[j]
             before = "L:{} {}".format(*_context(chunks, i, j)) if capital and behind == BLANK else ""
             out.append(Word(start, start + len(word), word, key, capital, parts, before, behind))
     return out
@@ -575,51 +614,70 @@ _COUNTS = "key string, inside long, outside long, around long"
 
 def _count_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-        for kind, original in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            side = 0 if kind == "PERSON" else 1
-            names = [fold(w).rstrip(".") for w in (_PLAIN_TOKEN if original.isascii() else _TOKEN).findall(original)]
-            names = [x for x in names if x not in TITLES and len(x) > 1]
-            for x in names:
-                counts["t:" + x][side] += 1
-                counts["l:" + x][side] += 1
-            solid = [x for x in names if x not in PARTICLES]
-            if side == 0 and len(solid) > 1:
-                turned = "," in original
-                for k, x in enumerate(solid):
-                    counts["f:" + x][int((k == 0) == turned)] += 1
-        yield _emit(counts)
+        with _no_cycles():
+            out = _entity_counts(batch)
+        yield out
+
+
+def _entity_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for kind, original in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        side = 0 if kind == "PERSON" else 1
+        names = [fold(w).rstrip(".") for w in (_PLAIN_TOKEN if original.isascii() else _TOKEN).findall(original)]
+        names = [x for x in names if x not in TITLES and len(x) > 1]
+        for x in names:
+            counts["t:" + x][side] += 1
+            counts["l:" + x][side] += 1
+        solid = [x for x in names if x not in PARTICLES]
+        if side == 0 and len(solid) > 1:
+            turned = "," in original
+            for k, x in enumerate(solid):
+                counts["f:" + x][int((k == 0) == turned)] += 1
+    return _emit(counts)
 
 
 def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words, and contexts before capitalised words and before placeholders, of texts with placeholders."""
     for batch in batches:
-        words: Counter[str] = Counter()
-        before: Counter[tuple[str, str]] = Counter()
-        people: Counter[tuple[str, str]] = Counter()
-        others: Counter[tuple[str, str]] = Counter()
-        for text in batch.column(0).to_pylist():
-            if text:
-                _count_text(text, words, before, people, others)
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-        for chunk, n in words.items():
-            for word in _CHUNKS[chunk].words:
-                counts[_facts(word)[0]][2] += n
-        for side, contexts in ((1, before), (0, people), (1, others)):
-            for (a, b), n in contexts.items():
-                counts[f"L:{a} {b}"][side] += n
-        yield _emit(counts)
+        with _no_cycles():
+            out = _text_counts(batch)
+        yield out
+
+
+def _text_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    words: Counter[str] = Counter()
+    before: Counter[tuple[str, str]] = Counter()
+    people: Counter[tuple[str, str]] = Counter()
+    others: Counter[tuple[str, str]] = Counter()
+    for text in batch.column(0).to_pylist():
+        if text:
+            _count_text(text, words, before, people, others)
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for chunk, n in words.items():
+        for word in _CHUNKS[chunk].words:
+            counts[_facts(word)[0]][2] += n
+    for side, contexts in ((1, before), (0, people), (1, others)):
+        for (a, b), n in contexts.items():
+            counts[f"L:{a} {b}"][side] += n
+    return _emit(counts)
 
 
 def _count_text(text: str, seen: Counter, before: Counter, people: Counter, others: Counter) -> None:
     """``seen`` counts chunks, the others contexts."""
-    marks = [(m.start(), m.end(), "person" in m[0].casefold()) for m in _PLACEHOLDER.finditer(text)] if "<" in text or "&lt;" in text else []
-    text = _masked(text, [(a, b) for a, b, _ in marks])
+    places = _placeholders(text)
+    marks = [(a, "person" in text[a:b].casefold()) for a, b in places]
+    text = _masked(text, places)
     chunks = text.split(" ")
     seen.update(chunks)
     of = _CHUNKS.__getitem__
     elements, pending, found = ["^", "^"], "", []
     for chunk in map(of, chunks):
+        if chunk.plain and not pending:  # as most are
+            elements += chunk.elements
+            for j in chunk.capitals:
+                at = len(elements) - len(chunk.elements) + j
+                found.append((elements[at - 2], elements[at - 1]))
+            continue
         mark = chunk.head
         if pending or mark:  # the gap goes on from the chunk before
             mark = next((m for m in "#^" if m in (pending, mark)), mark or pending)
@@ -634,11 +692,8 @@ def _count_text(text: str, seen: Counter, before: Counter, people: Counter, othe
             found.append((elements[at + j - 2], elements[at + j - 1]))
         pending = chunk.tail
     before.update(found)
-    i, begin, at = 0, 0, 0
-    for start, _, person in marks:  # ``begin`` is where the chunk i does
-        while begin + len(chunks[i]) < start:
-            begin += len(chunks[i]) + 1
-            i += 1
+    for start, person in marks:  # of the chunk i, that begins at ``begin``; there are no blanks in what is masked
+        i, begin = text.count(" ", 0, start), text.rfind(" ", 0, start) + 1
         chunk = of(chunks[i])
         j = next((j for j, s in enumerate(chunk.starts) if begin + s > start), len(chunk.words))  # the word behind the placeholder
         at = begin + chunk.starts[j - 1] + len(chunk.words[j - 1]) if j else begin
@@ -671,10 +726,18 @@ SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.Struc
 _ARROW_SPANS = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _spans_array(rows: list[list[tuple[int, int, str]]]) -> pa.Array:
+    """``SPANS`` of (start, end, type) in rows."""
+    flat = [s for row in rows for s in row]
+    columns = [pa.array([s[i] for s in flat], _ARROW_SPANS.value_type.field(c).type) for c, i in (("type", 2), ("start", 0), ("end", 1))]
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["type", "start", "end"])).cast(_ARROW_SPANS)
+
+
 #: Between the words, and between the fields of a word, that the first pass hands to the second; neither occurs in a word.
 _WORD_END, _FIELD_END = "\x1e", "\x1f"
 _FIRST = T.StructType([T.StructField("fixed", SPANS), T.StructField("words", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("revealing", T.BooleanType())])
-_ARROW_FIRST = (_ARROW_SPANS, pa.string(), pa.list_(pa.string()), pa.bool_())
+_ARROW_FIRST = (pa.string(), pa.list_(pa.string()), pa.bool_())
 
 
 def _first_pass(frequent: dict[str, float]):
@@ -683,6 +746,7 @@ def _first_pass(frequent: dict[str, float]):
 
     @once
     @F.arrow_udf(_FIRST)
+    @_batch
     def first(texts: pa.Array) -> pa.Array:
         columns: list[list] = [[], [], [], []]
         telling = _telling(nothing)  # once a batch, as equal sets are compared element by element
@@ -691,14 +755,14 @@ def _first_pass(frequent: dict[str, float]):
             words = words_of(text, spans, telling) if text else []
             terms = features_of(words)
             row = (
-                [{"type": k, "start": a, "end": b} for a, b, k in spans],
+                spans,
                 _WORD_END.join([f"{w.start}{_FIELD_END}{w.end}{_FIELD_END}{w.gap}{_FIELD_END}{w.text}{_FIELD_END}{w.before}" for w in words]),
                 [t for t in terms if t not in frequent],
                 any(frequent.get(t, REVEALS_NOTHING) > WORD_DISCLOSURE for t in terms),
             )
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW_FIRST, strict=True)], _FIRST.names)
+        return pa.StructArray.from_arrays([_spans_array(columns[0]), *(pa.array(c, t) for c, t in zip(columns[1:], _ARROW_FIRST, strict=True))], _FIRST.names)
 
     return first
 
@@ -708,24 +772,27 @@ def _second_pass(frequent: dict[str, float]):
 
     @once
     @F.arrow_udf(SPANS)
+    @_batch
     def second(words: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
         out = []
-        for packed, ks, vs in zip(words.to_pylist(), keys.to_pylist(), values.to_pylist(), strict=True):
+        known = zip(keys.flatten().to_pylist(), values.flatten().to_pylist(), strict=True)
+        for packed, n in zip(words.to_pylist(), keys.value_lengths().to_pylist(), strict=True):
             built = []
             for row in packed.split(_WORD_END) if packed else ():
                 start, end, gap, text, before = row.split(_FIELD_END)
                 built.append(Word(int(start), int(end), text, *_facts(text)[:3], before, int(gap)))
-            scores = {t: frequent[t] for t in features_of(built) if t in frequent} | dict(zip(ks or (), vs or (), strict=True))
-            out.append([{"type": k, "start": a, "end": b} for a, b, k in person_spans(built, scores)])
-        return pa.array(out, _ARROW_SPANS)
+            scores = {t: frequent[t] for t in features_of(built) if t in frequent} | dict(islice(known, n or 0))
+            out.append(person_spans(built, scores))
+        return _spans_array(out)
 
     return second
 
 
 @once
 @F.arrow_udf(SPANS)
+@_batch
 def structured_arrow(texts: pa.Array) -> pa.Array:
-    return pa.array([[{"type": k, "start": a, "end": b} for a, b, k in structured_spans(t)] if t else [] for t in texts.to_pylist()], _ARROW_SPANS)
+    return _spans_array([structured_spans(t) if t else [] for t in texts.to_pylist()])
 
 
 def frequent_terms(terms: DataFrame, share: float = FREQUENT) -> dict[str, float]:
@@ -753,7 +820,8 @@ def find_personal(spark: SparkSession, texts: DataFrame, table_of_terms: DataFra
     known = keys.join(bounded(terms).select("key", "score"), "key").groupBy("source_table", "row_id").agg(F.collect_list(F.struct("key", "score")).alias("known"))
     joined = rows.drop("keys").join(known, ["source_table", "row_id"], "left")
     revealing = F.col("revealing") | F.coalesce(F.exists("known", lambda k: k.score > WORD_DISCLOSURE), F.lit(False))  # without one there is no name
-    return joined.select("source_table", "row_id", F.concat("fixed", _second_pass(frequent)(F.when(revealing, F.col("words")), F.col("known.key"), F.col("known.score"))).alias("spans"))
+    told = [F.when(revealing, F.col(c)) for c in ("words", "known.key", "known.score")]
+    return joined.select("source_table", "row_id", F.concat("fixed", _second_pass(frequent)(*told)).alias("spans"))
 
 
 @once

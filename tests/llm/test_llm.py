@@ -222,6 +222,53 @@ def test_numbers_equal_a_plain_search(pattern, values):
             assert plain and got == plain, text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="1234567890 -./()AbzÄé²_\u00a0\n", max_size=24))
+def test_groups_of_digits_passed_over_hold_no_number(text):
+    got = list(disclosure._numbers(text))
+    telling, disclosure._TELLING_GROUPS = disclosure._TELLING_GROUPS, disclosure._DIGIT_GROUPS
+    try:
+        assert list(disclosure._numbers(text)) == got
+    finally:
+        disclosure._TELLING_GROUPS = telling
+
+
+def test_placeholders_of_a_text_are_searched_once(monkeypatch):
+    searched, pattern = [], disclosure._PLACEHOLDER
+
+    class Counted:
+        def finditer(self, text):
+            searched.append(text)
+            return pattern.finditer(text)
+
+    monkeypatch.setattr(disclosure, "_PLACEHOLDER", Counted())
+    text = 'Robert <PII type="PERSON" id="1"/> Feldhoven 030/23125 136 &lt;PII type="ORG" id="2"&gt; Anna Glimmerstone'
+    spans = disclosure.structured_spans(text)
+    words = disclosure.words_of(text, spans)
+    assert [(k, text[a:b]) for a, b, k in spans] == [("PHONE", "030/23125 136")] and [w.text for w in words] == ["Anna", "Glimmerstone"]
+    assert searched == [text]
+
+
+def test_collector_rests_while_a_batch_is_counted():
+    import gc
+
+    import pyarrow as pa
+
+    texts = [f'word{i} Robert{i} said, <PII type="PERSON" id="1"/> and Name{i}.\nNext{i} line' for i in range(3000)]
+    batch = lambda rows: iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["t"])])
+    list(disclosure._count_texts(batch(["first use"])))
+    ran = []
+    note = lambda phase, info: ran.append(phase)
+    gc.callbacks.append(note)
+    try:
+        (counts,) = disclosure._count_texts(batch(texts))
+    finally:
+        gc.callbacks.remove(note)
+    assert gc.isenabled() and ran.count("start") <= 2
+    found = {k: (i, o, a) for k, i, o, a in zip(*[c.to_pylist() for c in counts.columns], strict=True)}
+    assert found["L:said ,"] == (3000, 0, 0) and found["t:robert"] == (0, 0, 3000) and found["L:# and"] == (0, 3000, 0)
+
+
 def test_names_by_disclosure(spark):
     entities = [("PERSON", f"{a} {b}") for a in ("Robert", "Susan") for b in ("Glimmerstone", "Feldhoven") for _ in range(4)] + [("ORG", "Quimbly Food Processing")] * 9
     texts = [('My colleague <PII type="PERSON" id="1"/> from <PII type="ORG" id="2"/> will visit you on Monday.',)] * 40
